@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster, once per session; local workers import it in place."""
+    master = spark.sparkContext.master
+    if re.match(r"local(\[|$)", master) or getattr(spark.sparkContext, "_quernlab_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="quernlab-")) / "quernlab.zip"
+    atexit.register(shutil.rmtree, bundle.parent, ignore_errors=True)
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(bundle))
+    spark.sparkContext._quernlab_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
