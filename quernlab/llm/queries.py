@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernlab.llm import overlap
+from quernlab.llm import neardup, overlap
 from quernlab.session import table
 
 
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "p4_found": lambda spark, d: overlap.overlap_found(table(spark, d, "samples")),
         "p4_report": lambda spark, d: overlap.overlap_report(table(spark, d, "samples")),
+        "p5_found": lambda spark, d: neardup.near_duplicates_found(table(spark, d, "pairs")),
+        "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "pairs")),
     }
 
 
