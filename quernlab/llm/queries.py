@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernlab.llm import neardup, overlap
+from quernlab.llm import encode, mixing, neardup, overlap
 from quernlab.session import table
 
 
@@ -12,6 +12,10 @@ def queries() -> dict:
         "p4_report": lambda spark, d: overlap.overlap_report(table(spark, d, "samples")),
         "p5_found": lambda spark, d: neardup.near_duplicates_found(table(spark, d, "pairs")),
         "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "pairs")),
+        "p6_ids": lambda spark, d: encode.encode_corpus(table(spark, d, "documents")),
+        "p6_roundtrip": lambda spark, d: encode.roundtrip(table(spark, d, "documents")),
+        "p7_draw": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).draw(),
+        "p7_shares": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares(),
     }
 
 
