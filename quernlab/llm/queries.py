@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quernlab.llm import encode, mixing, neardup, overlap
+from quernlab.llm import encode, mixing, neardup, overlap, packing
 from quernlab.session import table
 
 
 def queries() -> dict:
     return {
+        "p3_items": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).items,
+        "p3_containers": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).containers(),
+        "p3_report": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).report(),
         "p4_found": lambda spark, d: overlap.overlap_found(table(spark, d, "samples")),
         "p4_report": lambda spark, d: overlap.overlap_report(table(spark, d, "samples")),
         "p5_found": lambda spark, d: neardup.near_duplicates_found(table(spark, d, "pairs")),
