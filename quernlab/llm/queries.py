@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quernlab.llm import encode, mixing, neardup, overlap, packing
+from quernlab.llm import broken, encode, mixing, neardup, overlap, packing
 from quernlab.session import table
 
 
 def queries() -> dict:
     return {
+        "p2_found": lambda spark, d: broken.broken_found(table(spark, d, "all_code"), table(spark, d, "pairs")),
+        "p2_rates": lambda spark, d: broken.broken_rates(table(spark, d, "all_code")),
+        "p2_kinds": lambda spark, d: broken.broken_kinds(table(spark, d, "all_code"), table(spark, d, "pairs")),
         "p3_items": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).items,
         "p3_containers": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).containers(),
         "p3_report": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).report(),
