@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quernlab.llm import broken, encode, mixing, neardup, overlap, packing
+from quernlab.llm import broken, defects, encode, mixing, neardup, overlap, packing
 from quernlab.session import table
 
 
 def queries() -> dict:
     return {
+        "p1_found": lambda spark, d: defects.defects_found(table(spark, d, "pairs")),
+        "p1_report": lambda spark, d: defects.defect_report(table(spark, d, "pairs")),
         "p2_found": lambda spark, d: broken.broken_found(table(spark, d, "all_code"), table(spark, d, "pairs")),
         "p2_rates": lambda spark, d: broken.broken_rates(table(spark, d, "all_code")),
         "p2_kinds": lambda spark, d: broken.broken_kinds(table(spark, d, "all_code"), table(spark, d, "pairs")),
