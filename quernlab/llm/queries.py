@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernlab.llm import broken, defects, encode, mixing, neardup, overlap, packing
+from quernlab.llm import broken, defects, encode, mixing, neardup, overlap, packing, spam
 from quernlab.session import table
 
 
@@ -24,6 +24,8 @@ def queries() -> dict:
         "p6_roundtrip": lambda spark, d: encode.roundtrip(table(spark, d, "documents")),
         "p7_draw": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).draw(),
         "p7_shares": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares(),
+        "p8_found": lambda spark, d: spam.spam_found(table(spark, d, "documents")),
+        "p8_report": lambda spark, d: spam.spam_report(table(spark, d, "documents")),
     }
 
 
