@@ -95,7 +95,7 @@ def pass_ratios(df: DataFrame, keys: list[str], tests: str = "tests", code: str
                     ratios = [sandbox.ratio(t, c, isolation, **limits) for t, c in zip(part.column(tests).to_pylist(), part.column(code).to_pylist())]
                     yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [pa.array(ratios, pa.float64())], names=[*keys, "ratio"])
 
-    return df.select(*keys, tests, code).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keys, tests, code])).mapInArrow(run, schema)
 
 
 def pass_ratio(tests: Column | str, code: Column | str, isolation: str = "per_test") -> Column:

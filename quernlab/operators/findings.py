@@ -68,13 +68,12 @@ def category_counts(findings: DataFrame) -> DataFrame:
 
 def severity_by_category(findings: DataFrame) -> DataFrame:
     """(severity, category, n, percent): every combination of the labels that occur, percent of the severity's row."""
-    labelled = findings.where("severity is not null and category is not null").select("severity", "category")
-    counts = labelled.groupBy("severity", "category").agg(F.count("*").alias("n"))
-    # The labels are two short lists; the frame of all combinations comes from the counted pairs.
-    frame = findings.where("severity is not null").select("severity").distinct().join(F.broadcast(findings.where("category is not null").select("category").distinct()))
+    counts = findings.where("severity is not null and category is not null").groupBy("severity", "category").agg(F.count("*").alias("n"))
+    labels = findings.groupBy("severity", "category").agg(F.lit(0).alias("n")).agg(F.collect_set("severity").alias("s"), F.collect_set("category").alias("c"))
+    frame = labels.select(F.explode("s").alias("severity"), "c").select("severity", F.explode("c").alias("category"))
     total = F.sum("n").over(Window.partitionBy("severity"))
     return (
-        frame.join(counts, ["severity", "category"], "left").na.fill(0, ["n"])
+        frame.join(counts, ["severity", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("percent", F.when(total > 0, F.col("n") * 100.0 / total).otherwise(0.0))
     )
 
@@ -127,20 +126,23 @@ def top_cwe(findings: DataFrame, top: int = TOP) -> DataFrame:
 
 def rates(files: DataFrame, findings: DataFrame, errors: DataFrame) -> DataFrame:
     """One row of percentages of the scanned files; 0 where nothing was scanned."""
-    counted = split_three_way(files.select("path").distinct(), findings, errors).agg(
-        F.count("*").alias("scanned"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("defective", "syntax_error", "clean")]
-    )
-    issues = findings.agg(F.count("*").alias("issues"))
+    buckets = split_three_way(files.select("path").distinct(), findings, errors).groupBy("bucket").agg(F.count("*").alias("n"))
+    issues = findings.agg(F.count("*").alias("n")).select(F.lit("issues").alias("bucket"), "n")
+    of = lambda b: F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("n"))), F.lit(0)).alias(b)
+    counted = buckets.unionByName(issues).agg(*[of(b) for b in ("defective", "syntax_error", "clean", "issues")])
+    counted = counted.withColumn("scanned", F.col("defective") + F.col("syntax_error") + F.col("clean"))
     share = lambda c: F.when(F.col("scanned") > 0, F.col(c) * 100.0 / F.col("scanned")).otherwise(0.0)
-    return counted.join(F.broadcast(issues)).select(
+    return counted.select(
         "scanned", "issues", share("defective").alias("defective_rate"), share("syntax_error").alias("error_rate"), share("issues").alias("issue_rate"), share("clean").alias("clean_rate")
     )
 
 
 def label_rates(findings: DataFrame, column: Column | str, name: str) -> DataFrame:
     """(name, n, percent) of a label, percent of all findings."""
-    total = findings.agg(F.count("*").alias("_all"))
-    return count_by(findings, column, name).join(F.broadcast(total)).select(name, "n", (F.col("n") * 100.0 / F.col("_all")).alias("percent"))
+    c = F.col(column) if isinstance(column, str) else column
+    counts = findings.select(c.alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.select(name, "n", (F.col("n") * 100.0 / every).alias("percent")).where(F.col(name).isNotNull())
 
 
 def domains(findings: DataFrame) -> DataFrame:

@@ -122,4 +122,5 @@ def evaluation(items: DataFrame, generations: DataFrame, k: int = 1, isolation:
     means = scores.agg(F.coalesce(F.avg("lint"), F.lit(0.0)).alias("avg_code_smell_score"), F.coalesce(F.avg("mi"), F.lit(0.0)).alias("avg_mi_score"))
     first = evaluate.pass_at_k(items, runs, 1).select(F.col("pass_at_k").alias("test_pass1"))
     best = evaluate.average_pass_ratio(items, runs, k).select("avg_pass_ratio")
-    return first.join(F.broadcast(best)).join(F.broadcast(means))
+    parts = first.unionByName(best, allowMissingColumns=True).unionByName(means, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
