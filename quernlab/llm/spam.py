@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlab.llm.arrow import sliced
+from quernlab.session import materialise
 
 STATES = ("prose", "link_list", "tag_list", "menu", "keywords")
 SYMBOLS = ("sentence", "long", "short", "definition", "code", "data", "link", "hashtag", "items", "product", "repeat")
 PROSE = 0
+#: Symbols that some list shows more than prose does; a page without any is prose throughout.
+LISTLIKE = frozenset(SYMBOLS.index(s) for s in ("short", "link", "hashtag", "items", "product", "repeat"))
 #: Training passes over all pages, and the weight of the prior in counted lines.
 PASSES, PRIOR = 2, 200.0
 #: Share of a page's characters outside prose above which it is flagged.
@@ -179,6 +182,8 @@ class Model:
         """The likeliest states of a page's lines (Viterbi)."""
         if not symbols:
             return []
+        if not LISTLIKE.intersection(symbols):
+            return [PROSE] * len(symbols)  # the likeliest labelling where nothing looks like a list
         best, back = self.start + self.show[:, symbols[0]], []
         for symbol in symbols[1:]:
             reach = best[:, None] + self.stay
@@ -190,24 +195,26 @@ class Model:
         return states[::-1]
 
 
-def nonprose_share(text: str | None, model: Model) -> float | None:
-    """The share of a page's characters in lines labelled as lists; None for null and blank pages."""
-    if not text:
-        return None
-    symbols, lengths = read_page(text)
-    if not any(lengths) or not any(c.isalnum() for c in text):
-        return None
-    states = model.label(symbols)
-    return sum(n for n, s in zip(lengths, states) if s != PROSE) / sum(lengths)
+def _read(batches):
+    for batch in sliced(batches):
+        pages = [read_page(t) if t and any(c.isalnum() for c in t) else ([], []) for t in batch.column("text").to_pylist()]
+        lists = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([s for s, _ in pages], lists), pa.array([n for _, n in pages], lists)], names=["doc_id", "symbols", "lengths"]
+        )
+
+
+def read_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, symbols, lengths): every page read once; null and blank texts, and those without letters and digits, have no lines."""
+    return materialise(documents.select("doc_id", "text").mapInArrow(_read, "doc_id long, symbols array<int>, lengths array<int>"))
 
 
 def _train(model: Model):
     def run(batches):
         shows, moves = np.zeros_like(_SHOW), np.zeros_like(_STAY)
         for batch in sliced(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    symbols, _ = read_page(text)
+            for symbols in batch.column("symbols").to_pylist():
+                if symbols:
                     states = model.label(symbols)
                     np.add.at(shows, (states, symbols), 1)
                     np.add.at(moves, (states[:-1], states[1:]), 1)
@@ -217,11 +224,11 @@ def _train(model: Model):
     return run
 
 
-def train(documents: DataFrame, passes: int = PASSES) -> Model:
+def train(pages: DataFrame, passes: int = PASSES) -> Model:
     """The model after ``passes`` rounds of labelling all pages and counting; 80 numbers come back from each."""
     model = Model()
     for _ in range(passes):
-        cells = documents.select("text").mapInArrow(_train(model), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        cells = pages.select("symbols").mapInArrow(_train(model), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
         flat = np.zeros(_SHOW.size + _STAY.size)
         for row in cells:
             flat[row["cell"]] = row["n"]
@@ -235,15 +242,17 @@ def train(documents: DataFrame, passes: int = PASSES) -> Model:
 def _share(model: Model):
     def run(batches):
         for batch in sliced(batches):
-            shares = pa.array([nonprose_share(t, model) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shares], names=["doc_id", "nonprose_share"])
+            pages = zip(batch.column("symbols").to_pylist(), batch.column("lengths").to_pylist())
+            shares = [sum(n for n, s in zip(lengths, model.label(symbols)) if s != PROSE) / sum(lengths) if symbols else None for symbols, lengths in pages]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shares, pa.float64())], names=["doc_id", "nonprose_share"])
 
     return run
 
 
 def nonprose_shares(documents: DataFrame) -> DataFrame:
-    """(doc_id, nonprose_share) of every row; null for null and blank texts. Repeated rows are rows of their own."""
-    return documents.select("doc_id", "text").mapInArrow(_share(train(documents)), "doc_id long, nonprose_share double")
+    """(doc_id, nonprose_share) of every row; null for texts without lines. Repeated rows are rows of their own."""
+    pages = read_pages(documents)
+    return pages.mapInArrow(_share(train(pages)), "doc_id long, nonprose_share double")
 
 
 def spam_found(documents: DataFrame) -> DataFrame:
