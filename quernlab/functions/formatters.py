@@ -91,7 +91,8 @@ _SINGLETON = re.compile(r"(?<![=!<>])(==|!=)\s*(None|True|False)\b")
 def tidy_layout(source: str) -> str:
     """PEP 8 white space: no trailing blanks, four-blank tabs, two blank lines between definitions at the
     top and one in classes, one blank around operators and after commas, ``is None`` for ``== None``."""
-    _parse(source)
+    if not source.strip():
+        return source
     text = _spaced_tokens(source)
     lines = [line.rstrip() for line in text.split("\n")]
     protected = _string_lines(text)
