@@ -105,7 +105,13 @@ def _symbol(piece: str, words: list[str], repeated: float, bigrams: float) -> st
     if len(tokens) >= 2 and sum(t[0] == "#" and len(t) > 1 and t[1].isalpha() for t in tokens) >= 0.6 * len(tokens):
         return "hashtag"
     n = len(words)
-    letters = sum(c.isalpha() for c in bare)
+    letters, digits = sum(c.isalpha() for c in bare), sum(c.isdigit() for c in bare)
+    if not n or (digits >= 0.5 * (digits + letters) and not _PRICE.search(bare)):
+        return "data"
+    cjk = len(_CJK.findall(bare))
+    size = n if cjk < 0.5 * n else n / 2
+    if size >= 9 and _END.search(bare) and len(set(words)) >= 0.8 * n:
+        return "sentence"  # however often the page has it
     if n >= 4 and repeated >= 0.75 and bigrams >= 0.3:
         return "repeat"
     if n >= 12 and repeated >= 0.6 and len(set(words)) <= 0.5 * n:
@@ -120,11 +126,8 @@ def _symbol(piece: str, words: list[str], repeated: float, bigrams: float) -> st
             return "items"
     if _CODE.search(piece) and not (_END.search(bare) and n >= 8 and bare[0].isupper()):
         return "code"
-    digits = sum(c.isdigit() for c in bare)
-    if not n or digits >= 0.5 * (digits + letters):
+    if digits >= 0.5 * (digits + letters):
         return "data"
-    cjk = len(_CJK.findall(bare))
-    size = n if cjk < 0.5 * n else n / 2
     if _BULLET.match(piece) and size >= 4:
         return "sentence"
     if _END.search(bare) and size >= 5:
