@@ -390,10 +390,7 @@ class Cpp(Parser):
                 self.fail()
             if self.take(";"):
                 return None
-            if self.take("["):
-                if self.T[at] != "auto" and "auto" not in self.T[at : self.i]:
-                    self.fail()
-                self.bindings()
+            if "auto" in self.T[at : self.i] and self.attempt(self.bindings):
                 return self.need(";")
             self.declarator()
         first = True
@@ -414,6 +411,9 @@ class Cpp(Parser):
         return self.need(";")
 
     def bindings(self):
+        if not self.take("&"):
+            self.take("&&")
+        self.need("[")
         self.name()
         while self.take(","):
             self.name()
@@ -634,8 +634,7 @@ class Cpp(Parser):
     def condition_declaration(self):
         if not self.specifiers():
             self.fail()
-        if self.take("["):
-            self.bindings()
+        if self.attempt(self.bindings):
             return
         self.declarator()
         if self.T[self.i] not in ("=", "{"):
@@ -710,9 +709,7 @@ class Cpp(Parser):
     def range_head(self):
         if not self.specifiers():
             self.fail()
-        if self.take("["):
-            self.bindings()
-        else:
+        if not self.attempt(self.bindings):
             self.pointers()
             self.name()
         self.need(":")

@@ -17,7 +17,7 @@ _CONFLICT = r"^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$)"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_'.]+(?:[pP][+-]?\d+)?|0[bB][01_']+|\.?\d(?:[eE][+-]|[\w.]|'(?=\w))*)"
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _WORD = r"(?:[A-Za-z_$]|[^\W\d]|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*"
-_STRING = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'
+_STRING = r'"[^"\\\n]*(?:\\(?:\r\n|[\s\S])[^"\\\n]*)*"'
 _CHAR = r"'[^'\\\n]*(?:\\(?:\r\n|[\s\S])[^'\\\n]*)*'"
 # ">" is always one token, as it may end type arguments; the parsers join what belongs together.
 _OPERATOR = {
@@ -181,21 +181,21 @@ def scan(text: str, lang: str) -> Tokens:
     return out
 
 
+_CONFLICT_LINE = re.compile(_CONFLICT, re.MULTILINE)
 _PYTHON = re.compile(
-    r"(?P<comment>\#[^\n]*)"
-    r"|(?P<long>(?i:[rbuf]|rb|br|fr|rf)?(?:\"\"\"|'''))"
+    r"(?P<comment>\#[^\n]*)|(?P<long>\"\"\"|@@@)"
     r"|(?P<str>\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*')"
-    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>[\"'])"
-    r"|(?P<conflict>^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$))",
-    re.MULTILINE,
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>[\"'])".replace("@", "'")
 )
-_LONG_END = {q: re.compile(r"(?:[^\\" + q[0] + r"]|\\[\s\S]|" + q[0] + r"(?!" + q[1:] + r"))*" + q) for q in ('"""', "'''")}
+#: The same for a text in which some line looks like a merge marker; it is one outside literals.
+_PYTHON_MERGED = re.compile(_PYTHON.pattern + "|(?P<conflict>" + _CONFLICT + ")", re.MULTILINE)
+_LONG_END = {q * 3: re.compile(r"[^\\Q]*(?:(?:\\[\s\S]|Q(?!QQ))[^\\Q]*)*QQQ".replace("Q", q)) for q in ('"', "'")}
 
 
 def scan_python(text: str) -> str | None:
     """The kind of the first defect of a Python text that its brackets and literals show, or None."""
     stack, at = [], 0
-    search = _PYTHON.search
+    search = (_PYTHON_MERGED if _CONFLICT_LINE.search(text) else _PYTHON).search
     while found := search(text, at):
         kind = found.lastgroup
         at = found.end()
@@ -205,7 +205,7 @@ def scan_python(text: str) -> str | None:
             if not stack or stack.pop() != found[0]:
                 return UNBALANCED
         elif kind == "long":
-            rest = _LONG_END[found[0][-3:]].match(text, at)
+            rest = _LONG_END[found[0]].match(text, at)
             if not rest:
                 return UNTERMINATED
             at = rest.end()
