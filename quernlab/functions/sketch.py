@@ -14,7 +14,7 @@ import xxhash
 WORD = re.compile(r"[a-z0-9_]+")
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A worker keeps the hashes of at most this many distinct tokens; the table is emptied beyond it.
-TOKEN_CACHE = 400_000
+TOKEN_CACHE = 100_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
