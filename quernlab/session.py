@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -32,9 +31,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers of a cluster, once per session; local workers import it in place."""
-    master = spark.sparkContext.master
-    if re.match(r"local(\[|$)", master) or getattr(spark.sparkContext, "_quernlab_sent", False):
+    """Send this package to the workers, once per session, so that they find it wherever they start."""
+    if getattr(spark.sparkContext, "_quernlab_sent", False):
         return
     root = Path(__file__).resolve().parent
     bundle = Path(tempfile.mkdtemp(prefix="quernlab-")) / "quernlab.zip"
