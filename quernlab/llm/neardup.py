@@ -3,8 +3,9 @@
 Records are sets of word shingles. One global order puts frequent shingles last, so two sets of
 similarity t share at least L of the |S| - ceil(t |S|) + L first shingles of each. The matrix holds,
 for every group of similar sets, the union of those prefixes; the number of a query's prefix shingles
-in a group's column bounds its overlap with every member, and only groups where the bound reaches L
-are opened and their members compared exactly. Nothing is capped: the order and the groups only
+in a group's column bounds its overlap with every member: beyond them, two sets share at most what lies
+behind the prefix. Only groups whose bound reaches the overlap that similarity t asks of sets of such
+sizes are opened, and their members compared exactly. Nothing is capped: the order and the groups only
 decide how much work the exact answer takes.
 """
 
@@ -24,8 +25,8 @@ from quernlab.session import materialise
 SHINGLE, SIMILARITY = 3, 0.6
 #: Common prefix shingles asked for (L); sets with a smaller needed overlap ask for that.
 NEEDED = 3
-#: 2**23 counters of 4 bytes estimate how frequent a shingle is; this array, of fixed size, is what gets broadcast.
-COUNTER_BITS = 23
+#: 2**22 counters of 4 bytes estimate how frequent a shingle is; this array, of fixed size, is what gets broadcast.
+COUNTER_BITS = 22
 _BLOCK = 16
 #: Groups of more sets than this are split by a hash.
 GROUP_SIZE = 64
@@ -135,7 +136,7 @@ class NearDuplicates:
 
     def __init__(self, pairs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, needed: int = NEEDED, bits: int = COUNTER_BITS):
         texts = _text(pairs)
-        sets = texts.mapInArrow(_members(size), "idx long, set_id binary").distinct()
+        sets = materialise(texts.mapInArrow(_members(size), "idx long, set_id binary")).distinct()
         classes = sets.groupBy("set_id").agg(F.min("idx").alias("rep"))
         self.members = materialise(sets.join(classes, "set_id").select("idx", "rep"))
         reps = self.members.where("idx = rep").select("rep").distinct()
@@ -144,9 +145,9 @@ class NearDuplicates:
         prefixed = materialise(
             own.mapInArrow(_prefixes(size, similarity, needed, bits, counters), "rep long, n int, ell int, key long, prefix array<long>").where("n > 0")
         )
-        self.links = materialise(self._links(texts, prefixed, similarity, size))
+        self.links = materialise(self._links(texts, prefixed, similarity, size, needed))
 
-    def _links(self, texts: DataFrame, prefixed: DataFrame, similarity: float, size: int) -> DataFrame:
+    def _links(self, texts: DataFrame, prefixed: DataFrame, similarity: float, size: int, needed: int) -> DataFrame:
         hot = prefixed.groupBy("key").count().where(F.col("count") > GROUP_SIZE).select("key", F.ceil(F.col("count") / GROUP_SIZE).alias("parts"))
         grouped = prefixed.join(hot, "key", "left").withColumn(
             "grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rep"), "parts")))
@@ -155,20 +156,29 @@ class NearDuplicates:
         cells = grouped.select(F.explode("prefix").alias("token"), "rep", "grp", "n", "ell")
         # Most shingles are in one set only; they can't link anything and end here.
         shared = materialise(cells.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
-        matrix = shared.groupBy("token", F.col("grp").alias("opened")).agg(
-            F.min("ell").alias("g_ell"), F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.max("rep").alias("g_last")
-        )
+        matrix = shared.groupBy("token", F.col("grp").alias("opened")).agg(F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.max("rep").alias("g_last"))
         t = F.lit(similarity)
+        # Sets of n and m shingles need the overlap t / (1 + t) (n + m). What they share beyond the
+        # ``bound`` common prefix shingles lies behind the prefix of one of them, ``rest`` at most.
+        needs = lambda n, m: t / (1 + t) * (n + m)
+        overlap = lambda n: F.ceil(t * n - 1e-9)
+        rest = lambda n: overlap(n) - F.least(F.lit(needed), overlap(n))
+        # Of the sizes m that a group has and that can be similar, the least for m up to n is at the
+        # smallest; beyond n, needs(n, m) - rest(m) falls with m but for rounding, so it is at the largest.
+        low, high = F.greatest(F.col("g_low"), overlap(F.col("n"))), F.least(F.col("g_high"), F.floor(F.col("n") / t + 1e-9))
+        below = F.when(low <= F.col("n"), needs(F.col("n"), low) - rest(F.col("n")))
+        above = F.when(high > F.col("n"), needs(F.col("n"), high) - (t * high + 1) + F.least(F.lit(needed), overlap(high)))
         qualified = (
             shared.join(matrix, "token")
             .where((F.col("rep") < F.col("g_last")) & (F.col("g_max") >= t * F.col("n") - 1e-9) & (t * F.col("g_min") <= F.col("n") + 1e-9))
             .groupBy("rep", "opened")
-            .agg(F.count("*").alias("bound"), F.min(F.least("ell", "g_ell")).alias("least"), F.first("n").alias("n"))
-            .where("bound >= least")
+            .agg(F.count("*").alias("bound"), F.first("n").alias("n"), F.min("g_min").alias("g_low"), F.max("g_max").alias("g_high"))
+            .where((low <= high) & (F.col("bound") >= F.least(below, above) - 1e-6))
         )
         candidates = materialise(
             qualified.join(groups.select(F.col("grp").alias("opened"), F.col("rep").alias("b"), F.col("n").alias("m")), "opened")
             .where((F.col("rep") < F.col("b")) & (F.col("m") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("m") - 1e-9))
+            .where(F.col("bound") >= needs(F.col("n"), F.col("m")) - F.greatest(rest(F.col("n")), rest(F.col("m"))) - 1e-6)
             .select(F.col("rep").alias("a"), "b").distinct()
         )
         wanted = candidates.select(F.col("a").alias("idx")).unionByName(candidates.select(F.col("b").alias("idx"))).distinct()
