@@ -193,6 +193,20 @@ def test_minhash_finds_most(spark, small):
     assert len({x[:2] for x in found} & {x[:2] for x in exact}) >= 0.9 * len(exact)
 
 
+def test_minhash_keeps_rows_of_equal_keys(spark):
+    # 1 and 2 are copies, 3 has another set with all the same keys, 4 shares a single key with both sets.
+    signatures = spark.createDataFrame([(1, b"x", [5, 6]), (2, b"x", [5, 6]), (3, b"y", [5, 6]), (4, b"z", [5, 7])], "id long, digest binary, bands array<long>")
+    assert rows(dedup.minhash_members(signatures)) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert rows(dedup.minhash_candidates(signatures)) == [(1, 2), (1, 3), (1, 4), (3, 4)]
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join(words[:-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    signatures = dedup.minhash_signatures(df, "idx", "text", num_perm=2, num_bands=2)
+    assert len({tuple(r["bands"]) for r in signatures.collect()}) == 1
+    found = rows(dedup.verified(dedup.minhash_candidates(signatures), df, "idx", "text"))
+    assert [(a, b, round(s, 4)) for a, b, s in found] == [(0, 1, 1.0), (0, 2, 0.9997)]
+
+
 def test_greedy_and_exact(spark):
     assert dedup.greedy_clusters([(3, 4), (1, 2), (2, 3)]) == [[1, 2, 3], [3, 4]] or dedup.greedy_clusters([(3, 4), (1, 2), (2, 3)]) == [[1, 2, 3, 4]]
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "id long, text string")
