@@ -120,10 +120,10 @@ def padded(rows: DataFrame, batch: int, pad: int, ignore: int = -100) -> DataFra
     )
 
 
-def tokenised(pairs: DataFrame, load, prompt: str = "prompt", answer: str = "answer", max_length: int = 1024) -> DataFrame:
+def tokenised(pairs: DataFrame, load, prompt: str = "prompt", answer: str = "answer", max_length: int | None = None) -> DataFrame:
     """(idx, prompt_ids, answer_ids) by a tokenizer that ``load`` makes once per worker: list of texts -> lists of ids.
 
-    Prompt and answer are tokenised as one text and cut to ``max_length``; the prompt keeps as many ids as it has by itself.
+    Prompt and answer are tokenised as one text and cut to ``max_length`` ids, if given; the prompt keeps as many ids as it has by itself.
     """
 
     def run(batches):

@@ -120,13 +120,13 @@ def _pass_ratios(kind: str):
 
 
 def _tokenised(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts and answers as ids of a byte tokenizer, masked for training."""
+    """Prompts and answers as ids of a byte tokenizer, masked for training; cut to 1,024 ids, as the SQL states it."""
 
     def load():
         return lambda texts: [list(t.encode()) for t in texts]
 
     prompts = table(spark, d, "pairs").select("idx", X.instruction_prompt("instruction").alias("prompt"), F.coalesce("output", F.lit("")).alias("answer"))
-    rows = split.masked(split.tokenised(prompts, load))
+    rows = split.masked(split.tokenised(prompts, load, max_length=1024))
     return rows.select("idx", F.size("input_ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
 
 

@@ -102,6 +102,12 @@ def test_training_rows(spark):
 # findings
 
 
+def test_training_rows_are_whole(spark):
+    df = spark.createDataFrame([(1, "p" * 1000, "a" * 1000)], "idx long, prompt string, answer string")
+    got = split.tokenised(df, lambda: lambda texts: [list(t.encode()) for t in texts]).first()
+    assert (len(got["prompt_ids"]), got["answer_ids"]) == (1000, [ord("a")] * 1000)
+
+
 def finding_table(spark):
     data = [
         ("f_1.py", "a.b.x", 1, "ERROR", "security", ["CWE-1", "CWE-2"], None, "HIGH", None),
