@@ -24,8 +24,8 @@ from quernlab.session import materialise
 STATES = ("prose", "link_list", "tag_list", "menu", "keywords")
 SYMBOLS = ("sentence", "long", "short", "definition", "code", "data", "link", "hashtag", "items", "product", "repeat")
 PROSE = 0
-#: Symbols that some list shows more than prose does; a page without any is prose throughout.
-LISTLIKE = frozenset(SYMBOLS.index(s) for s in ("short", "link", "hashtag", "items", "product", "repeat"))
+#: By so much a step in prose must be likelier than any other for Viterbi to be left out; rounding is far below.
+MARGIN = 1e-6
 #: Training passes over all pages, and the weight of the prior in counted lines.
 PASSES, PRIOR = 2, 200.0
 #: Share of a page's characters outside prose above which it is flagged.
@@ -180,13 +180,24 @@ class Model:
         self.start = np.log(_START)
         self.show = np.log(show / show.sum(1, keepdims=True))
         self.stay = np.log(stay / stay.sum(1, keepdims=True))
+        self.plain = self._plain()
+
+    def _plain(self) -> frozenset[int]:
+        """The symbols that are likeliest in prose whatever came before; a page of them alone is prose throughout."""
+        enter = self.stay.max(0)
+        if self.stay[PROSE, PROSE] < enter[PROSE]:
+            return frozenset()
+        lists = [k for k in range(len(STATES)) if k != PROSE]
+        within = self.stay[PROSE, PROSE] + self.show[PROSE] - (enter[lists, None] + self.show[lists]).max(0)
+        first = self.start[PROSE] + self.show[PROSE] - (self.start[lists, None] + self.show[lists]).max(0)
+        return frozenset(np.flatnonzero(np.minimum(within, first) > MARGIN).tolist())
 
     def label(self, symbols: list[int]) -> list[int]:
         """The likeliest states of a page's lines (Viterbi)."""
         if not symbols:
             return []
-        if not LISTLIKE.intersection(symbols):
-            return [PROSE] * len(symbols)  # the likeliest labelling where nothing looks like a list
+        if self.plain.issuperset(symbols):
+            return [PROSE] * len(symbols)  # what Viterbi gives too
         best, back = self.start + self.show[:, symbols[0]], []
         for symbol in symbols[1:]:
             reach = best[:, None] + self.stay

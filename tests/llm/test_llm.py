@@ -385,6 +385,32 @@ def test_pages(text, spammy):
     assert (sum(n for n, s in zip(lengths, states) if s != spam.PROSE) > 0.5 * sum(lengths)) is spammy
 
 
+def test_labels_are_the_likeliest():
+    rng = np.random.default_rng(3)
+
+    def viterbi(model, symbols):
+        best, back = model.start + model.show[:, symbols[0]], []
+        for symbol in symbols[1:]:
+            reach = best[:, None] + model.stay
+            back.append(reach.argmax(0))
+            best = reach.max(0) + model.show[:, symbol]
+        states = [int(best.argmax())]
+        for arrow in reversed(back):
+            states.append(int(arrow[states[-1]]))
+        return states[::-1]
+
+    menus = np.zeros_like(spam._SHOW)
+    menus[spam.STATES.index("menu"), spam.SYMBOLS.index("long")] = 800
+    models = [spam.Model(), spam.Model(menus), *(spam.Model(800 * rng.dirichlet(np.full(11, 0.3), 5), 800 * rng.dirichlet(np.full(5, 0.3), 5)) for _ in range(50))]
+    for model in models:
+        for _ in range(20):
+            symbols = rng.choice(rng.permutation(11)[: rng.integers(1, 5)], rng.integers(1, 30)).tolist()
+            assert model.label(symbols) == viterbi(model, symbols)
+    pages = [[spam.SYMBOLS.index("long")] * 30, [spam.SYMBOLS.index("sentence")] * 30]
+    assert [set(spam.Model(menus).label(p)) for p in pages] == [{spam.STATES.index("menu")}, {spam.PROSE}]
+    assert spam.SYMBOLS.index("sentence") in spam.Model().plain
+
+
 def test_spam_in_spark(spark):
     data = [(i, t) for i, t in enumerate(SPAM + GOOD)] + [(0, SPAM[0]), (100, None), (101, ""), (102, " \n"), (103, "."), (None, SPAM[0]), (104, PROSE * 3000)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("nonprose_share", F.lit(1))
