@@ -11,23 +11,24 @@ from pyspark.sql import functions as F
 
 from quernlab.operators.ranking import distributed_rank
 
-#: The defaults of the scorer.
+#: The input limit of a scorer that doesn't state its own by an attribute ``max_length`` (None: none), and the rows it gets at once.
 MAX_LENGTH, BATCH = 512, 32
 Scorer = Callable[[list[str], list[str]], list[float]]
 
 
-def score_pairs(pairs: DataFrame, load: Callable[[], Scorer], instruction: str = "question", answer: str = "solutions", max_length: int = MAX_LENGTH, batch: int = BATCH, name: str = "score") -> DataFrame:
+def score_pairs(pairs: DataFrame, load: Callable[[], Scorer], instruction: str = "question", answer: str = "solutions", max_length: int | None = None, batch: int = BATCH, name: str = "score") -> DataFrame:
     """``pairs`` with a score per row.
 
     ``load`` runs once per Python worker and returns a function from batches of instructions and
-    answers to scores. Texts are cut to ``max_length`` white-space tokens for the scorer only, as a
-    model's input is; nulls are empty texts.
+    answers to scores. Texts are cut to ``max_length`` white-space tokens, if given, else to the scorer's
+    own limit, for the scorer only, as a model's input is; nulls are empty texts.
     """
 
     @F.pandas_udf("double")
     def scored(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         scorer = load()
-        cut = lambda t: " ".join((t or "").split(maxsplit=max_length)[:max_length])
+        most = getattr(scorer, "max_length", MAX_LENGTH) if max_length is None else max_length
+        cut = lambda t: (t or "") if most is None else " ".join((t or "").split(maxsplit=most)[:most])
         for left, right in columns:
             out: list[float] = []
             for at in range(0, len(left), batch):
@@ -38,7 +39,7 @@ def score_pairs(pairs: DataFrame, load: Callable[[], Scorer], instruction: str =
 
 
 def overlap_scorer() -> Scorer:
-    """A scorer that needs no model: the share of an answer's distinct words that its instruction has."""
+    """A scorer that needs no model: the share of an answer's distinct words that its instruction has. Its input has no limit."""
 
     def run(instructions: list[str], answers: list[str]) -> list[float]:
         out = []
@@ -47,6 +48,7 @@ def overlap_scorer() -> Scorer:
             out.append(len(words & set(asked.lower().split())) / len(words) if words else 0.0)
         return out
 
+    run.max_length = None
     return run
 
 

@@ -52,6 +52,19 @@ def test_select(spark):
     assert selection.max_pool(states, mask).tolist() == [[4, 5, 6, 7]] and selection.mean_pool(states, mask).tolist() == [[2, 3, 4, 5]]
 
 
+def test_scorers_state_their_limits(spark):
+    question, answer = " ".join(f"w{i}" for i in range(600)), " ".join(f"w{i}" for i in range(599, -1, -1))
+    df = spark.createDataFrame([(1, question, answer, 1.0), (2, "w0", answer, 1 / 600)], "idx long, question string, solutions string, expected double")
+    assert selection.select(df, ratio=None, topk=2, keep_columns=True).where("abs(score - expected) > 1e-12").count() == 0
+
+    def counter():
+        return lambda asked, given: [float(len(g.split())) for g in given]
+
+    score = lambda **x: [r["score"] for r in selection.score_pairs(df, **x).orderBy("idx").collect()]
+    assert score(load=counter) == [512.0, 512.0] and score(load=counter, max_length=7) == [7.0, 7.0]
+    assert score(load=selection.overlap_scorer, max_length=1) == [0.0, 0.0]
+
+
 # splits and joins
 
 
