@@ -73,8 +73,13 @@ REFUSALS = {
     "ja": r"(?:申し訳|すみません|恐れ入り|残念ながら)[^。！？]{0,40}(?:できません|お答え|いたしかねます|不可能)|(?:お答え|回答|対応|お手伝い)(?:は)?(?:でき|いたし)(?:ません|かねます)",
 }
 _REFUSAL = [re.compile(re.sub(r"\n\s*", "", r), re.IGNORECASE) for r in REFUSALS.values()]
-#: A refusal says little else: at most so many words.
-REFUSAL_WORDS = 70
+#: Up to so many words, Chinese and Japanese characters counting as half, a text with a refusal says little else.
+#: In a longer one it must stand outside quotes, and at most this share of the sentences may look like an answer.
+REFUSAL_WORDS, ANSWER_SHARE = 70, 0.2
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+_NUMBERING = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s*")
+_ANSWERING = re.compile(r"[`\d=<>{}\[\]]|\bO\(|\w_\w|\w\(")
+_QUOTED = re.compile(r"(?<!\w)'(?:[^'\n]|(?<=\w)'(?=\w))*'(?!\w)|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|「[^」\n]*」|`[^`\n]*`")
 
 # Frequent function words of the languages in Latin script.
 STOPWORDS = {
@@ -191,10 +196,14 @@ def copies_instruction(instruction: str, output: str) -> bool:
 def refuses(prose: str, fenced: list[str]) -> bool:
     if any(code.strip() for code in fenced):
         return False
-    head = prose.strip()[:700].replace("’", "'")
-    if len(_WORDS.findall(prose)) > REFUSAL_WORDS:
-        return False
-    return any(rule.search(head) for rule in _REFUSAL)
+    said = prose.strip().replace("’", "'")
+    words = _WORDS.findall(said)
+    if len(words) - sum(len(w) == 1 and w >= "぀" for w in words) / 2 > REFUSAL_WORDS:
+        sentences = [s for s in (_NUMBERING.sub("", s) for s in _SENTENCE.split(said)) if s.strip()]
+        if sum(bool(_ANSWERING.search(s)) for s in sentences) > ANSWER_SHARE * len(sentences):
+            return False
+        said = _QUOTED.sub(" x ", said)
+    return any(rule.search(said) for rule in _REFUSAL)
 
 
 def language(text: str, evidence: float = 2.5) -> str | None:

@@ -99,6 +99,24 @@ def test_defects(instruction, output, kind, found):
     assert defects.defects_of(instruction, output, kind, Known()) == found
 
 
+WHY = "The topic touches on matters that people with training should handle, and a wrong word could do harm to someone who relies on it. "
+
+
+@pytest.mark.parametrize(
+    "prose, refused",
+    [
+        ("I'm sorry, but I can't help with that. " + WHY * 5, True),
+        (WHY * 8 + "For these reasons I must decline.", True),
+        ("抱歉，我无法回答这个请求。" + "这个话题涉及专业知识，错误的说法可能会伤害相信它的人，请咨询有经验的专家。" * 5, True),
+        ("The call prints 'Sorry, I can't help' on failure. " + WHY * 5, False),
+        ("Sorry, I cannot give a proof. " + "The loop adds `x` to the sum until 10 items are left. " * 10, False),
+        (WHY * 10, False),
+    ],
+)
+def test_long_refusals(prose, refused):
+    assert defects.refuses(prose, []) is refused
+
+
 def test_defects_in_spark(spark, small):
     df = spark.createDataFrame([(1, "a question here", None, None), (1, "a question here", None, None), (None, "q", None, "prose"), (2, None, "fine, thanks.", "prose")], "idx long, instruction string, output string, kind string")
     assert rows(defects.defects_found(df.withColumn("defect", F.lit(0)))) == [(1, "empty")]
