@@ -110,8 +110,25 @@ WANTED = {
     "ja": r"japanese|japanisch|japonais|japon[eé]s|японск|日语|日文",
     "ko": r"korean|koreanisch|coréen|coreano|корейск|韩语|韩文",
 }
-_WANTED = {lang: re.compile(r"(?:" + names + r")", re.IGNORECASE) for lang, names in WANTED.items()}
-_TRANSLATION = re.compile(r"translat|übersetz|tradui|traduc|перевед|перевод|翻译|traduz", re.IGNORECASE)
+#: Letters of scripts that put spaces between words; names in these are whole words, but for an inflection.
+_SPACED = r"[0-9_A-Za-zÀ-ɏЀ-ӿ]"
+_INFLECTED = rf"(?:e[nmrs]?|as?|s|es|nes?|os|sprachig\w*|[Ѐ-ӿ]+)?(?!{_SPACED})"
+
+
+def _named(names: str) -> re.Pattern:
+    own = [n for n in names.split("|") if n[0] < "⺀"]
+    return re.compile("|".join([rf"(?<!{_SPACED})(?:{'|'.join(own)}){_INFLECTED}", *(n for n in names.split("|") if n not in own)]), re.IGNORECASE)
+
+
+_WANTED = {lang: _named(names) for lang, names in WANTED.items()}
+# How a translation is asked for: at the start of a sentence or after a word of request, or into a language.
+_TRANSLATION = re.compile(
+    r"(?:^|[.!?:;,\n。！？，：]\s*|\b(?:please|you|and|then|now|just|also|bitte|und|dann|por favor|y|et|puis|пожалуйста|и)\s+)"
+    r"(?:translate|übersetze?n?|tradui(?:re|s|sez|t)|traduc(?:e|ir|id)|traduzca|traduz(?:ir|a)?|traduc(?:i|ete)|tradurre|переведи(?:те)?|перевести)\b"
+    r"|\btranslat(?:e|ion|ed version)\b[^.!?]{0,60}?\b(?:in)?to (?-i:[A-Z])\w+"
+    r"|\b(?:переведи(?:те)?|перевод\w*|перевести)\b[^.!?]{0,60}\bна \w+ский\b|翻译(?:成|为|到|一下|以下|下面|下列|这|:|：)|(?:请|把|将|帮我)[^。！？]{0,30}翻译",
+    re.IGNORECASE | re.MULTILINE,
+)
 
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~).*$", re.MULTILINE)
 _TOKEN = re.compile(r"`[^`\n]*`|O\([^()\n]*\)|[㐀-鿿豈-﫿]|[^\W\d_]+(?:['’_-][^\W\d_]+)*|\d(?:[\d.,]*\d)?|[.!?。！？…]+|[^\w\s]")

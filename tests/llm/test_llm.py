@@ -99,6 +99,29 @@ def test_defects(instruction, output, kind, found):
     assert defects.defects_of(instruction, output, kind, Known()) == found
 
 
+@pytest.mark.parametrize(
+    "instruction, answer, wrong",
+    [
+        ("How does Pasaruso use the loop in this function?", "ru", True),
+        ("What is the use of compare_rusozos_path and the rusolel in this function?", "ru", True),
+        ("Translated statement. Write what the loop in this function is for.", "ru", True),
+        ("How does the loop in this function work? Answer in Russian.", "ru", False),
+        ("How does the loop in this function work?用Russian回答", "ru", False),
+        ("Responde con textos rusos: what is the use of the loop in this function?", "ru", False),
+        ("How does the loop in this function work? Bitte auf Deutsch.", "de", False),
+        ("How does the loop in this function work? Give a deutschsprachige answer.", "de", False),
+        ("What is the loop in this function for? Ответьте на русском языке.", "ru", False),
+        ("What is the loop in this function for? 请用德语回答。", "de", False),
+        ("Translate this to the language of the author: the loop is for the list.", "de", False),
+        ("Please translate what is written in this function.", "ru", False),
+        ("Give a translation of the text in this function into Swedish.", "ru", False),
+    ],
+)
+def test_wanted_languages(instruction, answer, wrong):
+    given = {"ru": "Функция возвращает наименьшее значение, если список пуст.", "de": "Die Funktion gibt am Ende den kleinsten Wert zurück, wenn der Zähler nicht leer ist."}
+    assert defects.wrong_language(instruction, given[answer]) is wrong
+
+
 WHY = "The topic touches on matters that people with training should handle, and a wrong word could do harm to someone who relies on it. "
 
 
