@@ -15,7 +15,7 @@ from quernlab.functions.scan import scan_code
 from quernlab.operators import dedup, evaluate, findings, selection, split
 from quernlab.plans import techniques
 from quernlab.plans.oracles import SQL
-from quernlab.session import materialise, shared_dir, table
+from quernlab.session import materialise, scratch, table
 from quernlab.sources import reading, writing
 
 NEAR_N, NEAR_T = 3, 0.5
@@ -96,9 +96,7 @@ def _part_sizes(parts: DataFrame) -> DataFrame:
 
 
 def _jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     writing.write_jsonl(table(spark, d, "samples").select("idx", "dataset", "split", "source", "question", "solutions", "input_output", "test_list"), path)
     back = reading.read_jsonl(spark, path, reading.SAMPLE_SCHEMA)
     return back.select("idx", "dataset", "question", "solutions", "input_output", F.size(F.coalesce("test_list", F.array())).alias("n_tests"))

@@ -44,18 +44,40 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._quernlab_sent = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """One of the driver's tables; ``wide`` if a costly Python stage reads it.
+
+    A scan has a task per some megabytes. Where that is fewer tasks than cores, as for a small table,
+    a wide one is dealt to one task per core.
+    """
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if wide and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to tasks, for a costly Python stage that follows a shuffle.
+
+    Adaptive execution merges a shuffle's partitions by bytes, however long a row takes; a given
+    number of partitions stays as it is.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the cluster names none, as in local tests, a temporary one is made and set.
+    Only a local session, as in tests, that names none gets a temporary one; a cluster must name one.
     """
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="quernlab-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
@@ -71,14 +93,29 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass  # the session is gone, and with a cluster also its folder
 
 
+def scratch(spark: SparkSession, name: str = "quernlab") -> str:
+    """A new path in the shared folder, deleted when the Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     The result has no lineage, survives the loss of any executor, and is computed once however
-    often it is read. It is deleted when the Python process ends.
+    often it is read. It is deleted by ``discard``, or when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernlab-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quernlab_path = path
+    return back
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for ``df``; nothing may read it any more."""
+    path = getattr(df, "_quernlab_path", None)
+    if path:
+        _delete(df.sparkSession, path)
