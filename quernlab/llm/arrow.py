@@ -17,8 +17,13 @@ def fixed_lists(table: np.ndarray) -> pa.Array:
     return long_lists(table.reshape(-1), np.arange(rows + 1) * width)
 
 
-def sliced(batches, rows: int = 2000):
-    """The batches cut to at most ``rows`` rows, so that a stage's working arrays stay small."""
+def sliced(batches, rows: int = 2000, size: int = 8_000_000):
+    """The batches cut to at most ``rows`` rows and, but for single rows, ``size`` bytes, so that a stage's working arrays stay small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.nbytes > size and part.num_rows > 1:
+                part = part.slice(0, max(1, min(part.num_rows // 2, part.num_rows * size // part.nbytes)))
+            yield part
+            at += part.num_rows

@@ -2,9 +2,11 @@
 
 Ordered rules look at emptiness, copied instructions, refusals, the language of the answer, unclosed
 delimiters and abrupt endings; every rule that fires is reported, and the first of the order is the
-row's defect. Whether an ending without a full stop is abrupt is judged by how often the last words
-end a sentence anywhere in the table: two arrays of counters of fixed size, filled by all rows, hold
-for every context of up to three words how often it occurs and how often a sentence ends there.
+row's defect. Whether an ending without a full stop is abrupt is judged by how often its last words
+end a sentence anywhere in the table, and by whether its last word is mostly the beginning of longer
+ones. The endings in question name the contexts they ask for; all rows count these exactly, by a
+shuffle. A bit array of fixed size keeps most contexts that nobody asks for out of the shuffle; the
+counts do not depend on it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +27,20 @@ from pyspark.sql import functions as F
 from quernlab.functions.sketch import TOKEN_CACHE, mix64
 from quernlab.llm.arrow import sliced
 from quernlab.llm.syntax.lexer import PREMATURE, UNTERMINATED, scan_python
+from quernlab.operators.skew import spread_join
+from quernlab.session import materialise
 
 DEFECTS = ("empty", "copied_question", "refusal", "wrong_language", "truncated")
-#: 2**21 counters for contexts, as many for sentence ends and for beginnings of words.
-COUNTER_BITS = 21
+#: Bits of the array of contexts that are asked for.
+ASKED_BITS = 23
 #: A text that merely lacks its full stop always ends where a sentence may; one that was cut ends at any
 #: of some seventy characters. So an ending is complete if a sentence ends there in this share of cases.
 END_SHARE = 0.04
+#: A context of few cases leans on the next shorter one, which weighs as much as so many cases. A word
+#: never seen is taken to end a sentence in this share of cases.
+LEAN, UNSEEN = 10.0, 0.2
+#: A word is the beginning of others if so many have begun with it, and hardly any were the word itself.
+BEGUN, BEGUN_AFTER, ITSELF = 10, 10, 0.02
 
 # Words that stand for a missing answer or only announce one, in several languages.
 PLACEHOLDERS = frozenset(
@@ -91,6 +101,12 @@ STOPWORDS = {
     "pt": "o os das dos e é uma um que em para não por com se ao como mais este esta cada na no são também pode pela pelo ou seu sua então".split(),
     "nl": "de het een en is van niet met voor op te dat die zijn aan als door ook naar bij wordt worden kan maar dan uit deze elke".split(),
 }
+# Words that hardly ever end a sentence, in several languages; counts may show otherwise.
+OPEN_WORDS = frozenset(
+    """the a an and or but because than whose nor unless although into our your my its their der den dem ein eine einen einem einer und oder aber weil dass sowie
+    le les un une des du et ou mais parce que qui dans avec el los las una y pero porque del al il lo gli della e ma di os as um uma mas do da com
+    и или но если что чтобы который в на с к из для""".split()
+)
 _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _word in _words:
@@ -137,27 +153,32 @@ _WORDS = re.compile(r"[㐀-鿿豈-﫿぀-ヿ]|\w+")
 _DRESSING = frozenset("question instruction task prompt problem here is the you asked your frage aufgabe pregunta tarea вопрос задача 问题 题目 repeat q a i user request".split())
 
 
-def _visible(text: str) -> str:
-    """The text with entities resolved, without characters that can't be seen, and without outer space."""
-    if "&" in text:
-        text = html.unescape(text)
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co") or c in "\n\t\r").strip()
+_UNSEEN = regex.compile(r"(?V1)[\p{Cf}\p{Cc}\p{Cn}\p{Co}--[\n\t\r]]+")
+_ENTITY = re.compile(r"&#?\w{1,32};")
+_TAG = re.compile(r"</?[A-Za-z][\w-]*\s*/?>")
 
 
 def is_empty(output: str | None) -> bool:
+    """Nothing, nothing visible, fences and tags around nothing, or a placeholder.
+
+    Reads on line by line until there are more words than a placeholder has.
+    """
     if output is None:
         return True
-    head = _visible(output) if len(output) < 400 else output
-    if not head:
-        return True
-    if len(head) > 200:
-        return not any(c.isalnum() for c in _visible(output))
-    bare = _FENCE.sub(" ", head)
-    bare = re.sub(r"</?[A-Za-z][\w-]*\s*/?>", " ", bare)
-    words = " ".join(re.findall(r"\w+", bare.lower().replace("_", " ")))
-    if not words:
-        return True
-    return words in PLACEHOLDERS and not re.search(r"[`=(]\w", bare)
+    words: list[str] = []
+    called = False
+    for line in output.split("\n"):
+        if "&" in line and _ENTITY.search(line):
+            line = html.unescape(line)
+        line = _UNSEEN.sub("", line)
+        if not line.strip() or _FENCE.match(line):
+            continue
+        line = _TAG.sub(" ", line)
+        called = called or bool(re.search(r"[`=(]\w", line))
+        words += re.findall(r"\w+", line.lower().replace("_", " "))
+        if len(words) > 8:
+            return False
+    return not words or (not called and " ".join(words) in PLACEHOLDERS)
 
 
 def _split_fences(text: str) -> tuple[str, list[str], bool]:
@@ -179,7 +200,10 @@ def _parses(text: str) -> bool | int:
         return -1
 
 
-_CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*[:{]\s*$|while .*[:{]\s*$|if .*[:{]\s*$|elif |else:|try:|except\b|with .*:\s*$|@\w|#include|public |private |static |using |int |let |const |var |function |package |print\(|assert |[\w.\[\]]+ ?[-+*/%]?= ?\S|[{}]\s*$)")
+_CODE_LINE = re.compile(
+    r"^\s*(?:def \w|class \w+ ?[(:{]|import [\w.]+(?:,| as |;|\s*$)|from [\w.]+ import|return\b|for .*[:{]\s*$|while .*[:{]\s*$|if .*[:{]\s*$|elif |else:|try:|except\b|with .*:\s*$|@\w|#include"
+    r"|(?:public|private|static|using|package|function) [\w.<> ]+[({;=]|(?:int|let|const|var) [\w$\[\]{}, ]+ ?[=;:]|print\(|assert \w+[ (]*[=!<>]|[\w.\[\]]+ ?[-+*/%]?= ?\S|[{}]\s*$)"
+)
 
 
 def looks_like_code(text: str) -> bool:
@@ -188,67 +212,71 @@ def looks_like_code(text: str) -> bool:
 
 
 def copies_instruction(instruction: str, output: str) -> bool:
+    """Whether the output has most of the instruction's words, in its order, and hardly others; once or again and again."""
     asked = _WORDS.findall(unicodedata.normalize("NFKC", instruction).lower())
-    if len(asked) < 4 or len(output) > 3 * len(instruction) + 60:
-        return False
     given = _WORDS.findall(unicodedata.normalize("NFKC", output).lower())
-    if not given:
+    if not asked or not given:
         return False
-    pool: dict[str, int] = {}
-    for word in asked:
-        pool[word] = pool.get(word, 0) + 1
-    common = own = 0
+    if len(asked) < 4:
+        # Too few to be alike: the same words, alone or several times over.
+        said = [w for w in given if w not in _DRESSING] or given
+        plain = [w for w in asked if w not in _DRESSING] or asked
+        return len(said) % len(plain) == 0 and said == plain * (len(said) // len(plain))
+    known = set(asked)
+    own = sum(w not in known and w not in _DRESSING for w in given)
+    if own > 0.15 * len(given) + 1:
+        return False
+    left: dict[str, int] = {}
     for word in given:
-        if pool.get(word, 0) > 0:
-            pool[word] -= 1
+        left[word] = left.get(word, 0) + 1
+    common = 0
+    for word in asked:
+        if left.get(word, 0) > 0:
+            left[word] -= 1
             common += 1
-        elif word not in _DRESSING:
-            own += 1
-    if common < 0.6 * len(asked) or own > 0.15 * len(given) + 1:
+    if common < 0.6 * len(asked):
         return False
     pairs = set(zip(asked, asked[1:]))
     return sum(p in pairs for p in zip(given, given[1:])) >= 0.6 * (len(given) - 1 - own)
 
 
-def refuses(prose: str, fenced: list[str]) -> bool:
-    if any(code.strip() for code in fenced):
-        return False
+def refuses(prose: str) -> bool:
+    """Whether a text declines. What stands in quotes isn't said, unless everything does."""
     said = prose.strip().replace("’", "'")
+    spoken = _QUOTED.sub(" x ", said)
+    if len(_WORDS.findall(spoken)) > 2:
+        said = spoken
+    if not any(rule.search(said) for rule in _REFUSAL):
+        return False
     words = _WORDS.findall(said)
-    if len(words) - sum(len(w) == 1 and w >= "぀" for w in words) / 2 > REFUSAL_WORDS:
-        sentences = [s for s in (_NUMBERING.sub("", s) for s in _SENTENCE.split(said)) if s.strip()]
-        if sum(bool(_ANSWERING.search(s)) for s in sentences) > ANSWER_SHARE * len(sentences):
-            return False
-        said = _QUOTED.sub(" x ", said)
-    return any(rule.search(said) for rule in _REFUSAL)
+    if len(words) - sum(len(w) == 1 and w >= "\u3040" for w in words) / 2 > REFUSAL_WORDS:
+        sentences = [s for s in (_NUMBERING.sub("", s) for s in _SENTENCE.split(prose)) if s.strip()]
+        return sum(bool(_ANSWERING.search(s)) for s in sentences) <= ANSWER_SHARE * len(sentences)
+    return True
+
+
+_CODE_SPANS = re.compile(r"`[^`]*`|O\([^)]*\)")
+_LETTER = re.compile(r"[^\W\d_]")
+_SCRIPTS = {name: re.compile(f"[{span}]") for name, span in {"han": "一-鿿㐀-䶿", "kana": "぀-ヿ", "cyrillic": "Ѐ-ӿ", "hangul": "가-힯"}.items()}
+_LATIN_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
 def language(text: str, evidence: float = 2.5) -> str | None:
     """The human language of a text, None where there is too little to tell."""
-    plain = re.sub(r"`[^`]*`|O\([^)]*\)", " ", text)
-    letters = han = kana = cyrillic = hangul = 0
-    for c in plain:
-        if c.isalpha():
-            letters += 1
-            if c > "˿":
-                if "一" <= c <= "鿿" or "㐀" <= c <= "䶿":
-                    han += 1
-                elif "぀" <= c <= "ヿ":
-                    kana += 1
-                elif "Ѐ" <= c <= "ӿ":
-                    cyrillic += 1
-                elif "가" <= c <= "힯":
-                    hangul += 1
-    if not letters:
-        return None
-    if han + kana >= 0.15 * letters and han + kana >= 4:
-        return "ja" if kana > 0.2 * (han + kana) else "zh"
-    if hangul >= 0.3 * letters:
-        return "ko"
-    if cyrillic >= 0.3 * letters and cyrillic >= 6:
-        return "ru"
+    plain = _CODE_SPANS.sub(" ", text)
+    if not plain.isascii():
+        letters = len(_LETTER.findall(plain))
+        if not letters:
+            return None
+        han, kana, cyrillic, hangul = (len(s.findall(plain)) for s in _SCRIPTS.values())
+        if han + kana >= 0.15 * letters and han + kana >= 4:
+            return "ja" if kana > 0.2 * (han + kana) else "zh"
+        if hangul >= 0.3 * letters:
+            return "ko"
+        if cyrillic >= 0.3 * letters and cyrillic >= 6:
+            return "ru"
     votes: dict[str, float] = {}
-    for word in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", plain.lower()):
+    for word in _LATIN_WORD.findall(plain.lower()):
         for lang in _VOTES.get(word, ()):
             votes[lang] = votes.get(lang, 0) + 1 / len(_VOTES[word])
         if len(word) > 2 and word[1] in "'’" and word[0] in "ldnsjcmt":
@@ -290,109 +318,180 @@ def _last_line(prose: str) -> str:
     return prose.rstrip().rsplit("\n", 1)[-1]
 
 
-class Endings:
-    """Which words end sentences, in counters of fixed size."""
-
-    def __init__(self, bits: int = COUNTER_BITS):
-        self.bits = bits
-        self.seen, self.ends, self.starts = (np.zeros(1 << bits, np.int32) for _ in range(3))
-        self.cache: dict[str, int] = {}
-
-    def code(self, token: str, opening: bool) -> int:
-        """A token's hash: numbers, code and names inside a sentence count as one token each."""
-        token = _normal(token)
-        if token[0].isupper() and not opening and token != "O()":
-            token = "N"
-        value = self.cache.get(token)
-        if value is None:
-            if len(self.cache) >= TOKEN_CACHE:
-                self.cache.clear()
-            value = self.cache[token] = xxhash.xxh64_intdigest(token.lower())
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_INT = [int(k) for k in _K]
+_MASK = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """mix64 of one number."""
+    x &= _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
+def _contexts(a, b, c, k=_K, mix=mix64) -> list:
+    """The keys of a word c after a and b: all three, the last two, the outer two, the word alone."""
+    with np.errstate(over="ignore"):
+        return [mix(mix(a * k[0] + b) * k[1] + c), mix(b * k[2] + c), mix(mix(a * k[3] + c) + k[1]), mix(c * k[0] + k[3])]
+
+
+class Codes(dict):
+    """A token's hash: numbers, code and names inside a sentence count as one token each."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= TOKEN_CACHE:
+            self.clear()
+        plain = _normal(token)
+        value = self[token] = xxhash.xxh64_intdigest(plain.lower())
         return value
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    @staticmethod
-    def contexts(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-        """The contexts of a word c after a and b, from the most to the least telling."""
+_NAME = xxhash.xxh64_intdigest("n")
+
+
+def _is_word(token: str) -> bool:
+    return token.isalpha() and token[0] < "\u2e80"
+
+
+def _prefix_key(prefix: str) -> int:
+    return _mix(xxhash.xxh64_intdigest(prefix) ^ _INT[4])
+
+
+def _after_key(before: int, key: int) -> int:
+    return _mix(before * _INT[2] + key)
+
+
+def _read(line: str, codes: Codes):
+    """(token, a, b, c, following token) of every word of a line; a and b are the codes of the words before it in its sentence."""
+    tokens = _TOKEN.findall(line)
+    a = b = 0
+    opening = True
+    for k, token in enumerate(tokens):
+        first = token[0]
+        if first in _ENDERS:
+            opening, a, b = True, 0, 0
+        elif first.isalnum() or first == "`":
+            c = _NAME if not opening and first.isupper() and token[:2] != "O(" else codes[token]
+            yield token, a, b, c, tokens[k + 1] if k + 1 < len(tokens) else None
+            a, b, opening = b, c, False
+
+
+def question(line: str, codes: Codes) -> tuple[list[int], float] | None:
+    """The keys by which an ending without full stop is judged, and how often its last word is taken to end a sentence before anything is counted.
+
+    The keys are those of its four contexts, of its last word as a beginning, and of that after the word before; None if it has no words.
+    """
+    last = None
+    for last in _read(line, codes):
+        pass
+    if last is None:
+        return None
+    token, a, b, c, _ = last
+    keys = _contexts(a, b, c, _INT, _mix)
+    if _is_word(token):
+        begun = _prefix_key(token.lower())
+        keys += [begun, _after_key(b, begun)]
+    return keys, 0.0 if token.lower() in OPEN_WORDS else UNSEEN
+
+
+def verdict(counts: list[tuple[int, int]], prior: float) -> bool:
+    """Whether an ending is complete, by (seen, ends) of its keys."""
+    (seen3, ends3), (seen2, ends2), (seen_, ends_), (seen1, ends1) = counts[:4]
+    if len(counts) > 4:
+        begun, after = counts[4][0], counts[5][0]
+        if (begun >= BEGUN and seen1 < ITSELF * begun) or (after >= BEGUN_AFTER and seen2 < ITSELF * after):
+            return False  # the beginning of a frequent word, hardly ever a word
+    lean = lambda ends, seen, p: (ends + LEAN * p) / (seen + LEAN)
+    alone = lean(ends1, seen1, prior)
+    return lean(ends3, seen3, max(lean(ends2, seen2, alone), lean(ends_, seen_, alone))) >= END_SHARE
+
+
+def count_keys(texts, codes: Codes, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, seen, ends) of the contexts and beginnings in some texts; with the array ``asked``, of those it has."""
+    a, b, c, end, words = [], [], [], [], {}
+    for prose in texts:
+        for line in prose.split("\n"):
+            for token, x, y, z, following in _read(line, codes):
+                if following is not None:
+                    a.append(x)
+                    b.append(y)
+                    c.append(z)
+                    end.append(following[0] in _ENDERS)
+                if _is_word(token):
+                    pair = (y, token)
+                    words[pair] = words.get(pair, 0) + 1
+    keys, seen, ends = [], [], []
+
+    def add(some: np.ndarray, n: np.ndarray, e: np.ndarray) -> None:
+        if asked is not None:
+            kept = asked[(some >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
+            some, n, e = some[kept], n[kept], e[kept]
+        keys.append(some)
+        seen.append(n)
+        ends.append(e)
+
+    if c:
+        ending, one = np.array(end, np.int64), np.ones(len(c), np.int64)
+        for some in _contexts(*(np.array(x, np.uint64) for x in (a, b, c))):
+            add(some, one, ending)
+    begun: dict[str, list[int]] = {}
+    first, before, times = [], [], []
+    for (y, token), n in words.items():
+        own = begun.get(token)
+        if own is None:
+            low = token.lower()
+            own = [_prefix_key(low[:k]) for k in range(1, len(low))]
+            if asked is not None:
+                own = [x for x in own if asked[x >> (64 - ASKED_BITS)]]
+            begun[token] = own
+        for x in own:
+            first.append(x)
+            before.append(y)
+            times.append(n)
+    if first:
+        prefix, times = np.array(first, np.uint64), np.array(times, np.int64)
         with np.errstate(over="ignore"):
-            k1, k2, k3, k4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-            return [mix64(mix64(a * k1 + b) * k2 + c), mix64(b * k3 + c), mix64(a * k4 + b) + k2, c * k1 + k4]
+            after = mix64(np.array(before, np.uint64) * _K[2] + prefix)
+        for some in (prefix, after):
+            add(some, times, np.zeros(len(times), np.int64))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, seen, ends = (np.concatenate(x) for x in (keys, seen, ends))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, seen, len(keys)).astype(np.int64), np.bincount(at, ends, len(keys)).astype(np.int64)
+
+
+class Endings:
+    """Which words end sentences, counted over texts at hand."""
+
+    def __init__(self):
+        self.codes, self.counts = Codes(), {}
 
     def learn(self, texts) -> None:
-        a, b, c, end, words = [], [], [], [], {}
-        for prose in texts:
-            for line in prose.split("\n"):
-                tokens = _TOKEN.findall(line)
-                before = last = 0
-                opening = True
-                for k, token in enumerate(tokens):
-                    if token[0] in _ENDERS:
-                        opening, before, last = True, 0, 0
-                        continue
-                    if not (token[0].isalnum() or token[0] == "`"):
-                        continue
-                    value = self.code(token, opening)
-                    following = tokens[k + 1] if k + 1 < len(tokens) else None
-                    if following is not None:
-                        a.append(before)
-                        b.append(last)
-                        c.append(value)
-                        end.append(following[0] in _ENDERS)
-                    if token.islower() and token.isalpha():
-                        words[token] = words.get(token, 0) + 1
-                    before, last, opening = last, value, False
-        if c:
-            ending = np.array(end)
-            for keys in self.contexts(*(np.array(x, np.uint64) for x in (a, b, c))):
-                slots = self._slots(keys)
-                np.add.at(self.seen, slots, 1)
-                np.add.at(self.ends, slots[ending], 1)
-        prefixes, times = [], []
-        for word, n in words.items():
-            for k in range(1, len(word)):
-                prefixes.append(xxhash.xxh64_intdigest(word[:k]))
-                times.append(n)
-        if prefixes:
-            np.add.at(self.starts, self._slots(np.array(prefixes, np.uint64)), np.array(times, np.int32))
+        for key, seen, ends in zip(*(x.tolist() for x in count_keys(texts, self.codes))):
+            s, e = self.counts.get(key, (0, 0))
+            self.counts[key] = (s + seen, e + ends)
 
     def complete(self, line: str) -> bool:
         """Whether a line without a sentence end may be one; what is unknown counts as complete."""
-        tokens, history, opening = _TOKEN.findall(line), [0, 0], True
-        words = []
-        for token in tokens:
-            if token[0] in _ENDERS:
-                opening, history = True, [0, 0]
-            elif token[0].isalnum() or token[0] == "`":
-                words.append((token, history[-2], history[-1], self.code(token, opening)))
-                history.append(words[-1][3])
-                opening = False
-        if not words:
-            return True
-        token, a, b, c = words[-1]
-        keys = self.contexts(*(np.array([x], np.uint64) for x in (a, b, c)))
-        slots = [int(self._slots(k)[0]) for k in keys]
-        whole = int(self.seen[slots[3]])
-        if token.islower() and token.isalpha():
-            begun = int(self.starts[self._slots(np.array([xxhash.xxh64_intdigest(token)], np.uint64))[0]])
-            if begun >= 20 and whole < 0.02 * begun:
-                return False  # the beginning of a frequent word, hardly ever a word
-        for slot in slots[:3]:
-            seen = int(self.seen[slot])
-            if seen >= 3:
-                return int(self.ends[slot]) >= END_SHARE * seen
-        return int(self.ends[slots[3]]) >= END_SHARE * whole if whole >= 10 else True
+        asked = question(line, self.codes)
+        return asked is None or verdict([self.counts.get(k, (0, 0)) for k in asked[0]], asked[1])
 
 
 _HANGING = re.compile(r"(?:[,;:(\[{\\/&+=<«„—–-]|\.\.\.|…)\Z")
 _SEQUENCE = re.compile(r"(?:-?\d[\d.]*|\w)(?:\s*[,;]\s*(?:-?\d[\d.]*|\w)){2,}\s*[,;]?\s*(?:\.\.\.|…)\Z")
 
 
-def is_truncated(output: str, kind: str | None, prose: str, fenced: list[str], open_fence: bool, endings: Endings | None) -> bool:
+_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？]")
+
+
+def broken_ending(output: str, kind: str | None, fenced: list[str], open_fence: bool) -> bool | str:
+    """Whether an output breaks off; the last line, where that is for the counts of endings to say."""
     if open_fence:
         return True
-    if not fenced and (kind == "code" or looks_like_code(output)) and looks_like_code(output):
+    if not fenced and looks_like_code(output):
         return code_breaks_off(output)
     tail = _FENCE.split(output)[-1] if fenced else output
     tail = tail.rstrip()
@@ -400,6 +499,9 @@ def is_truncated(output: str, kind: str | None, prose: str, fenced: list[str], o
         tail = tail[:-1]
     if not tail.strip():
         return bool(fenced) and code_breaks_off(fenced[-1], fenced=True)
+    block = re.split(r"\n[ \t]*\n", tail)[-1]
+    if block != tail and looks_like_code(block):
+        return code_breaks_off(block, fenced=True)
     line = _last_line(tail).strip()
     if re.match(r">>> |\.\.\. |\$ ", line) or (tail.count("\n") and re.search(r"^>>> ", tail, re.MULTILINE)):
         return False
@@ -407,16 +509,17 @@ def is_truncated(output: str, kind: str | None, prose: str, fenced: list[str], o
         return False
     if _HANGING.search(line):
         return True
-    if line.count("`") % 2:
-        return True
-    if line.count("(") > line.count(")") and not re.search(r"[:;]-?\(", line):
-        return True
     closed = re.sub(r"(?<=[.!?。！？])\s*\([^()]*\)\Z", "", line).rstrip("\"'”’»*_)]")
     if closed and (closed[-1] in _ENDERS):
         return False
-    if len(_WORDS.findall(re.sub(r"`[^`]*`|O\([^()]*\)", "x", tail))) < 4 or endings is None:
+    last = _SENTENCE_END.split(line)[-1]
+    if last.count("`") % 2:
+        return True
+    if last.count("(") > last.count(")") and not re.search(r"[:;]-?\(", last):
+        return True
+    if len(_WORDS.findall(re.sub(r"`[^`]*`|O\([^()]*\)", "x", tail))) < 4:
         return False
-    return not endings.complete(line)
+    return line
 
 
 def code_breaks_off(code: str, fenced: bool = False) -> bool:
@@ -440,21 +543,30 @@ def code_breaks_off(code: str, fenced: bool = False) -> bool:
     return opened > 0 and not fenced
 
 
-def defects_of(instruction: str | None, output: str | None, kind: str | None, endings: Endings | None) -> list[str]:
-    """Every defect of a pair, in the order of DEFECTS."""
+def rules(instruction: str | None, output: str | None, kind: str | None) -> tuple[list[str], str | None]:
+    """The defects of a pair in the order of DEFECTS, and the ending that counts must judge, if any."""
     if is_empty(output):
-        return ["empty"]
+        return ["empty"], None
     instruction = instruction or ""
     prose, fenced, open_fence = _split_fences(output)
     code = not fenced and looks_like_code(output)
     found = []
     if copies_instruction(instruction, output):
         found.append("copied_question")
-    if not code and refuses(prose, fenced):
+    if not code and refuses(prose):
         found.append("refusal")
     if not code and wrong_language(instruction, prose):
         found.append("wrong_language")
-    if is_truncated(output, kind, prose, fenced, open_fence, endings):
+    ending = broken_ending(output, kind, fenced, open_fence)
+    if ending is True:
+        found.append("truncated")
+    return found, ending if isinstance(ending, str) else None
+
+
+def defects_of(instruction: str | None, output: str | None, kind: str | None, endings: Endings | None) -> list[str]:
+    """Every defect of a pair, in the order of DEFECTS."""
+    found, ending = rules(instruction, output, kind)
+    if ending is not None and endings is not None and not endings.complete(ending):
         found.append("truncated")
     return found
 
@@ -462,60 +574,99 @@ def defects_of(instruction: str | None, output: str | None, kind: str | None, en
 # Spark
 
 
-def _count(bits: int):
-    def run(batches):
-        endings = Endings(bits)
-        for batch in sliced(batches):
-            endings.learn(_split_fences(o)[0] for o in batch.column("output").to_pylist() if o and not looks_like_code(o))
-        for name in ("seen", "ends", "starts"):
-            for block, part in enumerate(np.split(getattr(endings, name), 1 << (bits - 16))):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name} {block}"]), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-    return run
+def _judge(batches):
+    codes = Codes()
+    for batch in sliced(batches):
+        found, keys, priors = [], [], []
+        for i, o, k in zip(*(batch.column(c).to_pylist() for c in ("instruction", "output", "kind"))):
+            defects, ending = rules(i, o, k)
+            asked = question(ending, codes) if ending is not None else None
+            found.append(defects)
+            keys.append(None if asked is None else np.array(asked[0], np.uint64).view(np.int64))
+            priors.append(None if asked is None else asked[1])
+        some = pa.array([bool(f) or k is not None for f, k in zip(found, keys)])
+        arrays = [batch.column("idx"), pa.array(found, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(priors, pa.float64())]
+        yield pa.RecordBatch.from_arrays([x.filter(some) for x in arrays], names=["idx", "defects", "keys", "prior"])
+
+
+def _slots(batches):
+    """The numbers of the slots that a task's keys set; the array has a fixed size, so they are at most that many."""
+    asked = np.zeros(1 << ASKED_BITS, bool)
+    for batch in batches:
+        keys = batch.column("key").to_numpy().view(np.uint64)
+        asked[(keys >> np.uint64(64 - ASKED_BITS)).astype(np.int64)] = True
+    packed = np.packbits(asked)
+    for block, part in enumerate(np.split(packed, 1 << (ASKED_BITS - 19))):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def _sum(batches):
-    total: dict[str, np.ndarray] = {}
+def _either(batches):
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(counts, np.int32)
-            total[block] = total[block] + part if block in total else part
-    for block, counts in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
+        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+            part = np.frombuffer(bits, np.uint8)
+            total[block] = total[block] | part if block in total else part
+    for block, bits in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def learn_endings(pairs: DataFrame, bits: int = COUNTER_BITS) -> Endings:
-    """The counters over the outputs of all rows; only 3 * 2**bits numbers reach the driver."""
-    schema = "block string, counts binary"
-    blocks = pairs.where("output is not null").select("output").mapInArrow(_count(bits), schema).repartition(32, "block").mapInArrow(_sum, schema)
-    endings = Endings(bits)
-    for row in blocks.toLocalIterator():
-        name, block = row["block"].split()
-        getattr(endings, name)[int(block) << 16 : (int(block) + 1) << 16] = np.frombuffer(row["counts"], np.int32)
-    return endings
+def _asked(keys: DataFrame) -> np.ndarray:
+    """Which slots some key is in: 2**ASKED_BITS bits, whatever the number of keys."""
+    schema = "block int, bits binary"
+    packed = np.zeros(1 << (ASKED_BITS - 3), np.uint8)
+    for row in keys.mapInArrow(_slots, schema).repartition(16, "block").mapInArrow(_either, schema).toLocalIterator():
+        packed[row["block"] << 16 : (row["block"] + 1) << 16] = np.frombuffer(row["bits"], np.uint8)
+    return packed
 
 
-def _judge(counters):
+def _count(packed):
     def run(batches):
-        endings = counters.value
+        codes, asked = Codes(), np.unpackbits(packed.value).view(bool)
         for batch in sliced(batches):
-            columns = [batch.column(c).to_pylist() for c in ("instruction", "output", "kind")]
-            found = [defects_of(i, o, k, endings) for i, o, k in zip(*columns)]
-            some = pa.array([bool(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("idx").filter(some), pa.array([f for f in found if f], pa.list_(pa.string()))], names=["idx", "defects"])
+            outputs = batch.column("output").to_pylist()
+            keys, seen, ends = count_keys((_split_fences(o)[0] for o in outputs if o and not looks_like_code(o)), codes, asked)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen), pa.array(ends)], names=["key", "seen", "ends"])
 
     return run
 
 
-def defective_pairs(pairs: DataFrame, bits: int = COUNTER_BITS) -> DataFrame:
+def defective_pairs(pairs: DataFrame) -> DataFrame:
     """(idx, defects): the defective rows with every defect that a rule found, in order.
 
     A null output is empty, a null instruction is an empty text that nothing can copy. Rows with a
     null idx are left out; repeated rows are judged each.
     """
-    counters = pairs.sparkSession.sparkContext.broadcast(learn_endings(pairs, bits))
-    return pairs.where("idx is not null").select("idx", "instruction", "output", "kind").mapInArrow(_judge(counters), "idx long, defects array<string>")
+    context = pairs.sparkSession.sparkContext
+    judged = materialise(
+        pairs.where("idx is not null").select("idx", "instruction", "output", "kind")
+        .mapInArrow(_judge, "idx long, defects array<string>, keys array<long>, prior double")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    asks = judged.where("keys is not null").select("row", F.posexplode("keys").alias("at", "key"))
+    packed = context.broadcast(_asked(asks.select("key")))
+    counts = (
+        pairs.where("output is not null").select("output").mapInArrow(_count(packed), "key long, seen long, ends long")
+        .groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    )
+    answers = (
+        spread_join(asks, counts, "key", how="left")
+        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("ends", F.lit(0)).alias("ends")))).alias("n"))
+    )
+    return (
+        judged.join(answers, "row", "left")
+        .select("idx", F.when(~_complete(F.col("n"), F.col("prior")), F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))
+        .where(F.size("defects") > 0)
+    )
+
+
+def _complete(n: F.Column, prior: F.Column) -> F.Column:
+    """``verdict`` as a column."""
+    seen, ends = (lambda i: F.get(n, F.lit(i))["seen"]), (lambda i: F.get(n, F.lit(i))["ends"])
+    begins = F.coalesce(((seen(4) >= BEGUN) & (seen(3) < ITSELF * seen(4))) | ((seen(5) >= BEGUN_AFTER) & (seen(1) < ITSELF * seen(5))), F.lit(False))
+    lean = lambda i, p: (ends(i) + LEAN * p) / (seen(i) + LEAN)
+    alone = lean(3, prior)
+    return ~begins & (lean(0, F.greatest(lean(1, alone), lean(2, alone))) >= END_SHARE)
 
 
 def defects_found(pairs: DataFrame) -> DataFrame:

@@ -8,24 +8,24 @@ from quernlab.session import table
 
 def queries() -> dict:
     return {
-        "p1_found": lambda spark, d: defects.defects_found(table(spark, d, "pairs")),
-        "p1_report": lambda spark, d: defects.defect_report(table(spark, d, "pairs")),
-        "p2_found": lambda spark, d: broken.broken_found(table(spark, d, "all_code"), table(spark, d, "pairs")),
-        "p2_rates": lambda spark, d: broken.broken_rates(table(spark, d, "all_code")),
-        "p2_kinds": lambda spark, d: broken.broken_kinds(table(spark, d, "all_code"), table(spark, d, "pairs")),
+        "p1_found": lambda spark, d: defects.defects_found(table(spark, d, "pairs", wide=True)),
+        "p1_report": lambda spark, d: defects.defect_report(table(spark, d, "pairs", wide=True)),
+        "p2_found": lambda spark, d: broken.broken_found(table(spark, d, "all_code", wide=True), table(spark, d, "pairs", wide=True)),
+        "p2_rates": lambda spark, d: broken.broken_rates(table(spark, d, "all_code", wide=True)),
+        "p2_kinds": lambda spark, d: broken.broken_kinds(table(spark, d, "all_code", wide=True), table(spark, d, "pairs", wide=True)),
         "p3_items": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).items,
         "p3_containers": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).containers(),
         "p3_report": lambda spark, d: packing.pack(table(spark, d, "pairs"), table(spark, d, "pack_capacity")).report(),
-        "p4_found": lambda spark, d: overlap.overlap_found(table(spark, d, "samples")),
-        "p4_report": lambda spark, d: overlap.overlap_report(table(spark, d, "samples")),
-        "p5_found": lambda spark, d: neardup.near_duplicates_found(table(spark, d, "pairs")),
-        "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "pairs")),
-        "p6_ids": lambda spark, d: encode.encode_corpus(table(spark, d, "documents")),
-        "p6_roundtrip": lambda spark, d: encode.roundtrip(table(spark, d, "documents")),
-        "p7_draw": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).draw(),
-        "p7_shares": lambda spark, d: mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares(),
-        "p8_found": lambda spark, d: spam.spam_found(table(spark, d, "documents")),
-        "p8_report": lambda spark, d: spam.spam_report(table(spark, d, "documents")),
+        "p4_found": lambda spark, d: overlap.overlap_found(table(spark, d, "samples", wide=True)),
+        "p4_report": lambda spark, d: overlap.overlap_report(table(spark, d, "samples", wide=True)),
+        "p5_found": lambda spark, d: neardup.near_duplicates_found(table(spark, d, "pairs", wide=True)),
+        "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "pairs", wide=True)),
+        "p6_ids": lambda spark, d: encode.encode_corpus(table(spark, d, "documents", wide=True)),
+        "p6_roundtrip": lambda spark, d: encode.roundtrip(table(spark, d, "documents", wide=True)),
+        "p7_draw": lambda spark, d: mixing.Mixture(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets")).draw(),
+        "p7_shares": lambda spark, d: mixing.Mixture(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets")).shares(),
+        "p8_found": lambda spark, d: spam.spam_found(table(spark, d, "documents", wide=True)),
+        "p8_report": lambda spark, d: spam.spam_report(table(spark, d, "documents", wide=True)),
     }
 
 

@@ -50,7 +50,7 @@ class Known(defects.Endings):
     """Endings that know some sentences."""
 
     def __init__(self):
-        super().__init__(16)
+        super().__init__()
         self.learn(["The loop runs over the list and keeps the best value so far. It passes the tests quickly. We sort the numbers by size first. That is all it has to do."] * 10)
 
 
@@ -137,7 +137,7 @@ WHY = "The topic touches on matters that people with training should handle, and
     ],
 )
 def test_long_refusals(prose, refused):
-    assert defects.refuses(prose, []) is refused
+    assert defects.refuses(prose) is refused
 
 
 def test_defects_in_spark(spark, small):
