@@ -247,11 +247,35 @@ def test_packing_covers_exactly(capacity, counts):
 def test_knapsack_is_best():
     rng = random.Random(2)
     for _ in range(60):
-        lengths = np.array(rng.sample(range(1, 20), 4))
-        values, counts, capacity = np.array([rng.random() for _ in lengths]), np.array([rng.randint(1, 3) for _ in lengths]), rng.randint(1, 40)
-        found = packing.best_configuration(capacity, lengths, values, counts)
-        best = max(sum(k * v for k, v in zip(c, values)) for c in itertools.product(*[range(n + 1) for n in counts]) if sum(k * l for k, l in zip(c, lengths)) <= capacity)
-        assert abs(sum(values[i] * k for i, k in found.items()) - best) < 1e-9 and sum(lengths[i] * k for i, k in found.items()) <= capacity
+        lengths, capacity = np.array(sorted(rng.sample(range(1, 20), 4))), rng.randint(19, 40)
+        values = np.array([rng.random() for _ in lengths])
+        most = [range(capacity // n + 1) for n in lengths]
+        best, choice = packing.knapsack(capacity, lengths, values)
+        assert abs(best[capacity] - max(sum(k * v for k, v in zip(c, values)) for c in itertools.product(*most) if sum(k * n for k, n in zip(c, lengths)) <= capacity)) < 1e-9
+        free, worth = capacity, 0.0
+        while choice[free] != -1:
+            free, worth = (free - 1, worth) if choice[free] == -2 else (free - int(lengths[choice[free]]), worth + values[choice[free]])
+        assert abs(worth - best[capacity]) < 1e-9
+
+
+def test_subset_sum_is_best():
+    rng = random.Random(3)
+    for _ in range(60):
+        lengths, room = np.array(sorted(rng.sample(range(1, 20), 4))), rng.randint(0, 50)
+        left = np.array([rng.randint(0, 3) for _ in lengths])
+        found = packing.Sums(60, lengths, left).fill(room)
+        sums = {sum(k * n for k, n in zip(c, lengths)) for c in itertools.product(*[range(n + 1) for n in left])}
+        assert all(t <= left[i] for i, t in found.items()) and sum(lengths[i] * t for i, t in found.items()) == max(x for x in sums if x <= room)
+
+
+def test_rare_lengths_are_in_the_program():
+    lengths = np.arange(20, 120)
+    solution = packing.fractional(1000, lengths, np.ones(100, np.int64))
+    covered = np.zeros(100)
+    for config, amount in solution.items():
+        for i, t in config:
+            covered[i] += t * amount
+    assert np.allclose(covered, 1, atol=1e-3) and sum(solution.values()) < 1.01 * lengths.sum() / 1000
 
 
 CAPS = "cap_id int, unit string, capacity int"
@@ -282,6 +306,16 @@ def test_packing_in_spark(spark, monkeypatch):
     assert rows(p.items) == rows(packing.pack(df.repartition(5), spark.createDataFrame([(1, "words", 10), (2, "chars", 64)], CAPS)).items)
     assert p.containers().where("free < 0").count() == 0 and p.report().count() == 2
     assert packing.pack(df.limit(0), spark.createDataFrame([(1, "words", 10)], CAPS)).items.count() == 0
+    # A capacity of several units a cell.
+    monkeypatch.setattr(packing, "GRID", 100)
+    wide = packing.pack(df, spark.createDataFrame([(3, "chars", 255)], CAPS))
+    spots = {}
+    for r in wide.items.collect():
+        spots.setdefault(r["container"], []).append((r["place"], r["start"], r["length"]))
+    for c in spots.values():
+        c.sort()
+        assert [x[0] for x in c] == list(range(len(c))) and all(a[1] + a[2] <= b[1] for a, b in zip(c, c[1:])) and c[-1][1] + c[-1][2] <= 255
+    assert wide.items.count() == len(data) - 1 + 1 and wide.containers().where("free < 0").count() == 0
     for bad in ((1, "words", 0), (1, "lines", 5), (None, "words", 5)):
         with pytest.raises(ValueError):
             packing.pack(df, spark.createDataFrame([bad], CAPS))
