@@ -16,6 +16,7 @@ import html
 import re
 import unicodedata
 import warnings
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,40 +50,86 @@ PLACEHOLDERS = frozenset(
     antwort|lösung|ausgabe|keine antwort|leer|réponse|reponse|solution|sortie|pas de réponse|vide|respuesta|solución|solucion|salida|sin respuesta|vacío|
     risposta|soluzione|nessuna risposta|resposta|solução|sem resposta|ответ|решение|вывод|нет ответа|пусто|答案|回答|答|解答|输出|无|无答案|暂无|空|待办|答え|なし""".replace("\n", "").replace("    ", "").split("|")
 )
-# Phrases by which an answer declines, in several languages.
-REFUSALS = {
-    "en": r"""\b(?:i(?:'m| am)? (?:really |very |truly |so |deeply )?(?:sorry|afraid|apologi[sz]e)|apologies|my apologies|sorry|unfortunately|regrettably)\b[^.!?:]{0,40}\b(?:i|we|not|can't|cannot|unable|declin\w+|refus\w+)\b[^.!?]{0,80}?(?:\b(?:can't|cannot|can not|could not|won't|will not|unable|decline|refuse|not (?:able|allowed|permitted|authori[sz]ed|going|in a position|comfortable|possible)|must not|may not)\b)
-        |\bsorry,? (?:but )?(?:i|we)(?:'m| am|'re| are)? (?:not |can|un|won)
-        |\bas an? (?:(?:ai|artificial intelligence|large language|language|virtual|digital)\b[^.!?]{0,30}?(?:model|assistant|system)?|assistant),? (?:i|it|we)\b[^.!?]{0,40}(?:can't|cannot|can not|not|unable|won't|decline)
-        |\b(?:i|we) (?:must|have to|need to|am going to|'m going to|will|would|shall|am obliged to|am forced to|politely|respectfully) (?:politely |respectfully |have to )?(?:decline|refuse|pass on)\b
-        |\b(?:i|we)(?:'d| would) (?:rather|prefer) not(?: to)?\b
-        |\b(?:i|we) (?:can't|cannot|can not|won't|will not|am unable to|'m unable to|am not able to|'m not able to|am not allowed to|'m not allowed to|am not permitted to|do not wish to|don't wish to|do not want to|don't want to|refuse to|decline to) (?:\w+ ){0,2}?(?:help|assist|answer|discuss|share|write|provide|comply|fulfil|fulfill|complete|respond|do|give|support|engage|produce|generate|create|take|continue|talk|comment|reply|offer|solve|explain|disclose|reveal)\b
-        |\b(?:i|we) (?:do not|don't) (?:have the (?:ability|permission|authori[sz]ation|means)|feel (?:comfortable|able|at ease))\b
-        |\b(?:my|our|the) (?:guidelines?|polic(?:y|ies)|rules|instructions|programming|developers?|principles|safety \w+) (?:do|does|will|would)?(?: not|n't)? ?(?:not )?(?:let|allow|permit|prevents?|prohibits?|forbids?|stops?)\b
-        |\bwould not be (?:appropriate|right|responsible|ethical|proper|safe) (?:for|of|to)\b|\bit(?:'s| is) not (?:appropriate|possible) for me\b
-        |\b(?:falls?|is|lies?|are) (?:outside|beyond|out of) (?:of )?(?:my|our) (?:scope|abilit\w+|capabilit\w+|remit|competence|expertise)\b
-        |\bno (?:answer|solution|help|response|assistance|code|comment) (?:can|could|will|shall|may) be (?:given|provided|offered|shared)\b
-        |\brequest\b[^.!?]{0,60}\b(?:declined|denied|rejected|refused|blocked)\b
-        |\b(?:is|are|has been|was|were) (?:withheld|redacted)\b
-        |\bnot something\b[^.!?]{0,40}\b(?:can|could|will|may|am able to|want to) (?:take on|help|do|assist|discuss|answer|support|provide)\b
-        |\b(?:against|violates?|contravenes?) (?:my|our|the) (?:\w+ )?(?:guidelines|polic(?:y|ies)|rules|terms)\b""",
-    "de": r"""\b(?:leider|tut mir leid|bedaure|entschuldig\w+|bedauerlicherweise|verzeihung)\b[^.!?]{0,80}\b(?:nicht|kein\w*|ablehnen|unmöglich|außerstande)\b|\bals (?:ki|sprachmodell|assistent|ki-\w+|künstliche intelligenz)\b[^.!?]{0,80}\b(?:nicht|kein\w*)\b
-        |\b(?:ich|wir) (?:muss|müssen|möchte|will|werde|darf|kann|können|dürfen|lehne)\b[^.!?]{0,60}\b(?:ablehnen|ab|verweigern|nicht (?:\w+ )?(?:helfen|beantworten|antworten|bearbeiten|liefern|geben|erfüllen|schreiben|lösen|behandeln|unterstützen|weitergeben|bereitstellen|besprechen|teilen))\b
-        |\bkann (?:dazu |hier |dabei |darauf |zu \w+ )?(?:\w+ ){0,5}(?:nicht|keine?) (?:\w+ ){0,3}(?:helfen|beantworten|antworten|weiterhelfen|eingehen|geben|liefern|hilfe)\b|\b(?:nicht erlaubt|nicht gestattet|verweiger\w+|keine antwort geben|abgelehnt)\b""",
-    "fr": r"""\b(?:désolée?|navrée?|malheureusement|pardon|je regrette|je m'excuse)\b[^.!?]{0,80}\b(?:pas|impossible|refus\w+|incapable)\b|\ben tant qu(?:e |')(?:\w+ ?){0,4}[^.!?]{0,60}\b(?:ne|n')[^.!?]{0,40}\bpas\b
-        |\bje (?:préfère|dois|souhaite|me vois|suis|vais|refuse|décline)\b[^.!?]{0,40}\b(?:ne pas|refuser|décliner|pas en mesure|incapable|dans l'obligation|de (?:\w+ )?(?:répondre|traiter|fournir|faire))\b
-        |\bje ne (?:peux|puis|dois|veux|souhaite|suis)\b[^.!?]{0,30}\bpas\b[^.!?]{0,40}\b(?:répondre|aider|fournir|traiter|écrire|donner|partager|faire|autorisée?|en mesure|discuter|résoudre|accéder|satisfaire)\b|\b(?:il ne m'est|m'est) pas (?:permis|possible)\b""",
-    "es": r"""\b(?:lo siento|lamento|lamentablemente|por desgracia|desafortunadamente|perd[oó]n|disculp\w+)\b[^.!?]{0,80}\b(?:no|imposible|rechaz\w+|neg\w+)\b|\bcomo (?:modelo|ia|asistente|inteligencia)\b[^.!?]{0,80}\bno\b
-        |\b(?:debo|tengo que|prefiero|voy a|me veo)\b[^.!?]{0,30}\b(?:rechazar|declinar|negarme|rehusar|no (?:responder|ayudar|hablar|dar|escribir|resolver|tratar|compartir|ofrecer))\b
-        |\bno (?:puedo|podemos|debo|me es posible|me est[aá] permitido|estoy (?:autorizad[oa]|en condiciones))\b[^.!?]{0,40}\b(?:ayudar\w*|responder\w*|resolver|tratar|escribir|proporcionar|compartir|dar|hacer|atender|ofrecer|contestar|hablar|cumplir|de)\b|\bno me est[aá] permitido\b|\bme niego a\b|\b(?:solicitud|petición)\b[^.!?]{0,40}\b(?:rechazada|denegada)\b""",
-    "it": r"\b(?:mi dispiace|purtroppo|spiacente|scusa)\b[^.!?]{0,80}\b(?:non|impossibile|rifiut\w+)\b|\bcome (?:modello|assistente|ia)\b[^.!?]{0,80}\bnon\b|\bnon posso (?:\w+ ){0,2}(?:aiutar\w*|rispondere|fornire|scrivere|condividere)\b|\bdevo (?:rifiutare|declinare)\b",
-    "pt": r"\b(?:desculp\w+|lamento|infelizmente|sinto muito)\b[^.!?]{0,80}\b(?:não|impossível|recus\w+)\b|\bcomo (?:modelo|assistente|ia)\b[^.!?]{0,80}\bnão\b|\bnão posso (?:\w+ ){0,2}(?:ajudar|responder|fornecer|escrever|partilhar|compartilhar)\b|\b(?:devo|tenho de|tenho que) (?:recusar|declinar)\b",
-    "ru": r"""(?:извините|простите|к сожалению|сожалею|прошу прощения|увы)[^.!?]{0,80}(?:не (?:могу|можем|смогу|вправе|имею|получится|буду)|невозможно|отказ|вынужден)|как (?:языковая модель|ии|искусственный интеллект|ассистент|модель|помощник)[^.!?]{0,80}\bне\b
-        |(?:вынужден\w*|должен|должна|приходится|предпочту|предпоч[её]л\w*|придётся|придется)[^.!?]{0,40}(?:отказ\w+|отклонить|не (?:отвечать|помогать|обсуждать|решать|писать|давать))|\bя (?:отказываюсь|не буду|не стану|не могу|не вправе|не имею права|не готов\w*|не в состоянии)[^.!?]{0,40}(?:отвеч\w+|ответ\w+|помо\w+|обсужд\w+|писать|написать|делать|дать|предостав\w+|реш\w+|выполн\w+|работать|рассказ\w+)?|мне (?:нельзя|запрещено|не разрешено|не позволено)|запрос[^.!?]{0,40}отклон[её]н""",
-    "zh": r"(?:抱歉|对不起|不好意思|很遗憾|遗憾|恕我)[^。！？]{0,40}(?:无法|不能|不可以|不便|拒绝|没办法|不会)|作为(?:一个|一名)?(?:[^。！？，]{0,10})(?:语言模型|人工智能|助手|AI|ai|模型)[^。！？]{0,40}(?:不能|无法|不可|不会|不便)|我(?:不能|无法|不便|不会|拒绝|必须拒绝|只能拒绝|不得不拒绝|不愿|不想)[^。！？]{0,20}(?:回答|提供|帮助|处理|讨论|完成|协助|解决|编写|写|透露|分享|满足|这)|我(?:必须|只能|不得不|选择|需要)拒绝|(?:拒绝|谢绝)(?:回答|提供|处理|完成|这个请求|该请求)|请求[^。！？]{0,12}(?:被拒绝|拒绝)|不允许我|不在我的(?:能力|职责|服务)?范围",
-    "ja": r"(?:申し訳|すみません|恐れ入り|残念ながら)[^。！？]{0,40}(?:できません|お答え|いたしかねます|不可能)|(?:お答え|回答|対応|お手伝い)(?:は)?(?:でき|いたし)(?:ません|かねます)",
+# How an answer declines, in several languages: some of the parts before a phrase are in every text that has the phrase.
+REFUSALS = (
+    # English
+    ("sorry|afraid|apologi|apologies|unfortunately|regrettably", r"\b(?:i(?:'m| am)? (?:really |very |truly |so |deeply )?(?:sorry|afraid|apologi[sz]e)|apologies|my apologies|sorry|unfortunately|regrettably)\b[^.!?:]{0,40}\b(?:i|we|not|can't|cannot|unable|declin\w+|refus\w+)\b[^.!?]{0,80}?(?:\b(?:can't|cannot|can not|could not|won't|will not|unable|decline|refuse|not (?:able|allowed|permitted|authori[sz]ed|going|in a position|comfortable|possible)|must not|may not)\b)"),
+    ("sorry", r"\bsorry,? (?:but )?(?:i|we)(?:'m| am|'re| are)? (?:not |can|un|won)"),
+    (" ai|assistant|model", r"\bas an? (?:(?:ai|artificial intelligence|large language|language|virtual|digital)\b[^.!?]{0,30}?(?:model|assistant|system)?|assistant),? (?:i|it|we)\b[^.!?]{0,40}(?:can't|cannot|can not|not|unable|won't|decline)"),
+    ("decline|refuse|pass on", r"\b(?:i|we) (?:must|have to|need to|am going to|'m going to|will|would|shall|am obliged to|am forced to|politely|respectfully) (?:politely |respectfully |have to )?(?:decline|refuse|pass on)\b"),
+    ("rather not|prefer not", r"\b(?:i|we)(?:'d| would) (?:rather|prefer) not(?: to)?\b"),
+    ("can't|cannot|can not|won't|will not|unable|not able|not allowed|not permitted|not wish|n't wish|not want|n't want|refuse|decline", r"\b(?:i|we) (?:can't|cannot|can not|won't|will not|am unable to|'m unable to|am not able to|'m not able to|am not allowed to|'m not allowed to|am not permitted to|do not wish to|don't wish to|do not want to|don't want to|refuse to|decline to) (?:\w+ ){0,2}?(?:help|assist|answer|discuss|share|write|provide|comply|fulfil|fulfill|complete|respond|do|give|support|engage|produce|generate|create|take|continue|talk|comment|reply|offer|solve|explain|disclose|reveal)\b"),
+    ("not have the|n't have the|not feel|n't feel", r"\b(?:i|we) (?:do not|don't) (?:have the (?:ability|permission|authori[sz]ation|means)|feel (?:comfortable|able|at ease))\b"),
+    ("guideline|polic|rules|instructions|programming|developer|principles|safety", r"\b(?:my|our|the) (?:guidelines?|polic(?:y|ies)|rules|instructions|programming|developers?|principles|safety \w+) (?:do|does|will|would)?(?: not|n't)? ?(?:not )?(?:let|allow|permit|prevents?|prohibits?|forbids?|stops?)\b"),
+    ("would not be |not appropriate|not possible", r"\bwould not be (?:appropriate|right|responsible|ethical|proper|safe) (?:for|of|to)\b|\bit(?:'s| is) not (?:appropriate|possible) for me\b"),
+    ("scope|abilit|remit|competence|expertise", r"\b(?:falls?|is|lies?|are) (?:outside|beyond|out of) (?:of )?(?:my|our) (?:scope|abilit\w+|capabilit\w+|remit|competence|expertise)\b"),
+    ("be given|be provided|be offered|be shared", r"\bno (?:answer|solution|help|response|assistance|code|comment) (?:can|could|will|shall|may) be (?:given|provided|offered|shared)\b"),
+    ("declined|denied|rejected|refused|blocked", r"\brequest\b[^.!?]{0,60}\b(?:declined|denied|rejected|refused|blocked)\b"),
+    ("withheld|redacted", r"\b(?:is|are|has been|was|were) (?:withheld|redacted)\b"),
+    ("not something", r"\bnot something\b[^.!?]{0,40}\b(?:can|could|will|may|am able to|want to) (?:take on|help|do|assist|discuss|answer|support|provide)\b"),
+    ("against|violate|contravene", r"\b(?:against|violates?|contravenes?) (?:my|our|the) (?:\w+ )?(?:guidelines|polic(?:y|ies)|rules|terms)\b"),
+    # German
+    ("nicht|kein|ablehn|unmöglich|außerstande", r"\b(?:leider|tut mir leid|bedaure|entschuldig\w+|bedauerlicherweise|verzeihung)\b[^.!?]{0,80}\b(?:nicht|kein\w*|ablehnen|unmöglich|außerstande)\b|\bals (?:ki|sprachmodell|assistent|ki-\w+|künstliche intelligenz)\b[^.!?]{0,80}\b(?:nicht|kein\w*)\b"),
+    ("nicht|kein|ablehn|unmöglich|außerstande", r"\b(?:ich|wir) (?:muss|müssen|möchte|will|werde|darf|kann|können|dürfen|lehne)\b[^.!?]{0,60}\b(?:ablehnen|ab|verweigern|nicht (?:\w+ )?(?:helfen|beantworten|antworten|bearbeiten|liefern|geben|erfüllen|schreiben|lösen|behandeln|unterstützen|weitergeben|bereitstellen|besprechen|teilen))\b"),
+    ("nicht|keine|verweiger|abgelehnt", r"\bkann (?:dazu |hier |dabei |darauf |zu \w+ )?(?:\w+ ){0,5}(?:nicht|keine?) (?:\w+ ){0,3}(?:helfen|beantworten|antworten|weiterhelfen|eingehen|geben|liefern|hilfe)\b|\b(?:nicht erlaubt|nicht gestattet|verweiger\w+|keine antwort geben|abgelehnt)\b"),
+    # French
+    ("désolé|navré|malheureus|pardon|je regrette|je m'excuse|en tant qu", r"\b(?:désolée?|navrée?|malheureusement|pardon|je regrette|je m'excuse)\b[^.!?]{0,80}\b(?:pas|impossible|refus\w+|incapable)\b|\ben tant qu(?:e |')(?:\w+ ?){0,4}[^.!?]{0,60}\b(?:ne|n')[^.!?]{0,40}\bpas\b"),
+    ("je ", r"\bje (?:préfère|dois|souhaite|me vois|suis|vais|refuse|décline)\b[^.!?]{0,40}\b(?:ne pas|refuser|décliner|pas en mesure|incapable|dans l'obligation|de (?:\w+ )?(?:répondre|traiter|fournir|faire))\b"),
+    (" pas", r"\bje ne (?:peux|puis|dois|veux|souhaite|suis)\b[^.!?]{0,30}\bpas\b[^.!?]{0,40}\b(?:répondre|aider|fournir|traiter|écrire|donner|partager|faire|autorisée?|en mesure|discuter|résoudre|accéder|satisfaire)\b|\b(?:il ne m'est|m'est) pas (?:permis|possible)\b"),
+    # Spanish
+    ("lo siento|lament|por desgracia|desafortunad|perdón|perdon|disculp|como ", r"\b(?:lo siento|lamento|lamentablemente|por desgracia|desafortunadamente|perd[oó]n|disculp\w+)\b[^.!?]{0,80}\b(?:no|imposible|rechaz\w+|neg\w+)\b|\bcomo (?:modelo|ia|asistente|inteligencia)\b[^.!?]{0,80}\bno\b"),
+    ("rechazar|declinar|negarme|rehusar|no ", r"\b(?:debo|tengo que|prefiero|voy a|me veo)\b[^.!?]{0,30}\b(?:rechazar|declinar|negarme|rehusar|no (?:responder|ayudar|hablar|dar|escribir|resolver|tratar|compartir|ofrecer))\b"),
+    ("no puedo|no podemos|no debo|no me|no estoy|me niego|rechazada|denegada", r"\bno (?:puedo|podemos|debo|me es posible|me est[aá] permitido|estoy (?:autorizad[oa]|en condiciones))\b[^.!?]{0,40}\b(?:ayudar\w*|responder\w*|resolver|tratar|escribir|proporcionar|compartir|dar|hacer|atender|ofrecer|contestar|hablar|cumplir|de)\b|\bno me est[aá] permitido\b|\bme niego a\b|\b(?:solicitud|petición)\b[^.!?]{0,40}\b(?:rechazada|denegada)\b"),
+    # Italian
+    ("mi dispiace|purtroppo|spiacente|scusa|come |non posso|rifiutare|declinare", r"\b(?:mi dispiace|purtroppo|spiacente|scusa)\b[^.!?]{0,80}\b(?:non|impossibile|rifiut\w+)\b|\bcome (?:modello|assistente|ia)\b[^.!?]{0,80}\bnon\b|\bnon posso (?:\w+ ){0,2}(?:aiutar\w*|rispondere|fornire|scrivere|condividere)\b|\bdevo (?:rifiutare|declinare)\b"),
+    # Portuguese
+    ("desculp|lamento|infelizmente|sinto muito|como |não posso|recusar|declinar", r"\b(?:desculp\w+|lamento|infelizmente|sinto muito)\b[^.!?]{0,80}\b(?:não|impossível|recus\w+)\b|\bcomo (?:modelo|assistente|ia)\b[^.!?]{0,80}\bnão\b|\bnão posso (?:\w+ ){0,2}(?:ajudar|responder|fornecer|escrever|partilhar|compartilhar)\b|\b(?:devo|tenho de|tenho que) (?:recusar|declinar)\b"),
+    # Russian
+    ("не |невозможно|отказ|вынужден", r"(?:извините|простите|к сожалению|сожалею|прошу прощения|увы)[^.!?]{0,80}(?:не (?:могу|можем|смогу|вправе|имею|получится|буду)|невозможно|отказ|вынужден)|как (?:языковая модель|ии|искусственный интеллект|ассистент|модель|помощник)[^.!?]{0,80}\bне\b"),
+    ("не |отказ|отклон|нельзя|запрещ", r"(?:вынужден\w*|должен|должна|приходится|предпочту|предпоч[её]л\w*|придётся|придется)[^.!?]{0,40}(?:отказ\w+|отклонить|не (?:отвечать|помогать|обсуждать|решать|писать|давать))|\bя (?:отказываюсь|не буду|не стану|не могу|не вправе|не имею права|не готов\w*|не в состоянии)[^.!?]{0,40}(?:отвеч\w+|ответ\w+|помо\w+|обсужд\w+|писать|написать|делать|дать|предостав\w+|реш\w+|выполн\w+|работать|рассказ\w+)?|мне (?:нельзя|запрещено|не разрешено|не позволено)|запрос[^.!?]{0,40}отклон[её]н"),
+    # Chinese
+    ("无法|不能|不可|不便|拒绝|没办法|不会|不愿|不想|谢绝|不允许|不在我的", r"(?:抱歉|对不起|不好意思|很遗憾|遗憾|恕我)[^。！？]{0,40}(?:无法|不能|不可以|不便|拒绝|没办法|不会)|作为(?:一个|一名)?(?:[^。！？，]{0,10})(?:语言模型|人工智能|助手|AI|ai|模型)[^。！？]{0,40}(?:不能|无法|不可|不会|不便)|我(?:不能|无法|不便|不会|拒绝|必须拒绝|只能拒绝|不得不拒绝|不愿|不想)[^。！？]{0,20}(?:回答|提供|帮助|处理|讨论|完成|协助|解决|编写|写|透露|分享|满足|这)|我(?:必须|只能|不得不|选择|需要)拒绝|(?:拒绝|谢绝)(?:回答|提供|处理|完成|这个请求|该请求)|请求[^。！？]{0,12}(?:被拒绝|拒绝)|不允许我|不在我的(?:能力|职责|服务)?范围"),
+    # Japanese
+    ("ません|かねます|不可能|お答え", r"(?:申し訳|すみません|恐れ入り|残念ながら)[^。！？]{0,40}(?:できません|お答え|いたしかねます|不可能)|(?:お答え|回答|対応|お手伝い)(?:は)?(?:でき|いたし)(?:ません|かねます)"),
+)
+# For further languages the words of regret, of being unable or unwilling, and of what is asked for.
+DECLINING = {
+    "Dutch": ("het spijt|sorry|helaas|excuses", "kan niet|kan ik niet|kan je niet|kan u niet|kan daar niet|kan je daar niet|kan u daar niet|mag niet|mag ik niet|zal niet|weiger|niet in staat|niet mogelijk", "help|antwoord|schrijv|gev|lever|voldoen|behandel|bespreken"),
+    "Polish": ("przepraszam|przykro mi|niestety|wybacz", "nie mogę|nie możemy|nie jestem w stanie|nie wolno mi|nie będę|odmawiam|muszę odmówić", "pomóc|odpowied|napisać|podać|udziel|spełni|zrobić|omawiać"),
+    "Czech": ("omlouvám|bohužel|promiňte|je mi líto", "nemohu|nemůžu|nesmím|odmítám|nejsem schopen|nebudu", "pomoci|odpověd|napsat|poskytnout|splnit|pomoct"),
+    "Swedish": ("tyvärr|ursäkta|förlåt|jag beklagar", "kan inte|kan jag inte|får inte|får jag inte|vägrar|kommer inte att|måste avböja", "hjälpa|svara|skriva|ge|lämna|uppfylla"),
+    "Danish": ("beklager|desværre|undskyld|dessverre", "kan ikke|kan jeg ikke|må ikke|nægter|vil ikke|må afvise", "hjælpe|hjelpe|svare|skrive|give|gi|levere"),
+    "Finnish": ("pahoittelen|valitettavasti|anteeksi", "en voi|en pysty|en saa|kieltäydyn", "auttaa|vastata|kirjoittaa|antaa|toteuttaa"),
+    "Hungarian": ("sajnálom|sajnos|elnézést", "nem tudok|nem tudom|nem segíthetek|nem válaszolhatok|visszautasít", "segíteni|válasz|írni|megad"),
+    "Romanian": ("îmi pare rău|din păcate|scuze", "nu pot|nu am voie|refuz|nu sunt în măsură", "ajut|răspund|scri|ofer|da "),
+    "Turkish": ("üzgünüm|maalesef|özür dilerim|kusura bakma", "yapamam|edemem|veremem|yazamam|yanıtlayamam|cevaplayamam|olamam|olamıyorum|yapamıyorum|reddediyorum|reddetmek|mümkün değil", "yardım|yanıt|cevap|yaz|istek|talep"),
+    "Indonesian": ("maaf", "tidak dapat|tidak bisa|tidak boleh|menolak", "membantu|menjawab|menulis|memberikan|memenuhi"),
+    "Vietnamese": ("xin lỗi|rất tiếc", "không thể|từ chối|không được phép", "giúp|trả lời|viết|cung cấp|hỗ trợ|thực hiện"),
+    "Ukrainian": ("вибачте|перепрошую|на жаль|шкода", "не можу|не маю права|відмовляюся|не буду|змушений", "допомогти|відпов|написати|надати|виконати|обговорювати"),
+    "Korean": ("죄송|미안|유감|안타깝", "수 없|못합|못해|불가|거절|거부|않겠", "도와|도움|답변|대답|작성|제공|처리|요청"),
+    "Arabic": ("آسف|عذرا|للأسف|أعتذر", "لا أستطيع|لا يمكنني|لا يمكن|أرفض|لن أ", "مساعد|الإجابة|أجيب|كتابة|تقديم|طلب"),
+    "Hindi": ("माफ|क्षमा|खेद|दुर्भाग्य", "नहीं कर सकत|नहीं दे सकत|सकता नहीं|नहीं सकत|इनकार|मना कर", "मदद|उत्तर|जवाब|लिख|सहायता|अनुरोध"),
 }
-_REFUSAL = [re.compile(re.sub(r"\n\s*", "", r), re.IGNORECASE) for r in REFUSALS.values()]
+
+
+def _declining(regret: str, unable: str, asked: str) -> str:
+    """Regret and then unable, or unable near what is asked for on either side, within a sentence."""
+    within = "[^.!?。！？।]"
+    return rf"(?<!\w)(?:{regret}){within}{{0,80}}(?:{unable})|(?:{unable}){within}{{0,60}}(?:{asked})|(?:{asked}){within}{{0,40}}(?:{unable})"
+
+
+_REFUSAL = [
+    (tuple(part for part in parts.split("|") if part), re.compile(re.sub(r"\n\s*", "", phrase), re.IGNORECASE))
+    for parts, phrase in (*REFUSALS, *((unable, _declining(regret, unable, asked)) for regret, unable, asked in DECLINING.values()))
+]
+
+
+def declines(text: str) -> bool:
+    """Whether a text has a phrase of refusal. A phrase is looked for only where one of its parts is."""
+    low = text.lower()
+    return any((not parts or any(part in low for part in parts)) and phrase.search(text) for parts, phrase in _REFUSAL)
+
+
 #: Up to so many words, Chinese and Japanese characters counting as half, a text with a refusal says little else.
 #: In a longer one it must stand outside quotes, and at most this share of the sentences may look like an answer.
 REFUSAL_WORDS, ANSWER_SHARE = 70, 0.2
@@ -246,7 +293,7 @@ def refuses(prose: str) -> bool:
     spoken = _QUOTED.sub(" x ", said)
     if len(_WORDS.findall(spoken)) > 2:
         said = spoken
-    if not any(rule.search(said) for rule in _REFUSAL):
+    if not declines(said):
         return False
     words = _WORDS.findall(said)
     if len(words) - sum(len(w) == 1 and w >= "\u3040" for w in words) / 2 > REFUSAL_WORDS:
@@ -276,11 +323,14 @@ def language(text: str, evidence: float = 2.5) -> str | None:
         if cyrillic >= 0.3 * letters and cyrillic >= 6:
             return "ru"
     votes: dict[str, float] = {}
-    for word in _LATIN_WORD.findall(plain.lower()):
-        for lang in _VOTES.get(word, ()):
-            votes[lang] = votes.get(lang, 0) + 1 / len(_VOTES[word])
-        if len(word) > 2 and word[1] in "'’" and word[0] in "ldnsjcmt":
-            votes["fr"] = votes.get("fr", 0) + 0.7
+    words = _LATIN_WORD.findall(plain.lower())
+    for word, n in Counter(filter(_VOTES.__contains__, words)).items():
+        for lang in _VOTES[word]:
+            votes[lang] = votes.get(lang, 0) + n / len(_VOTES[word])
+    if "'" in plain or "’" in plain:
+        elided = sum(len(word) > 2 and word[1] in "'’" and word[0] in "ldnsjcmt" for word in words)
+        if elided:
+            votes["fr"] = votes.get("fr", 0) + 0.7 * elided
     if not votes:
         return None
     ranked = sorted(votes.items(), key=lambda x: -x[1])
@@ -524,10 +574,12 @@ def broken_ending(output: str, kind: str | None, fenced: list[str], open_fence:
 
 def code_breaks_off(code: str, fenced: bool = False) -> bool:
     """Whether source ends before it is complete; errors elsewhere are none of this."""
+    stripped = code.rstrip()
+    if not fenced and code.endswith("\n") and not stripped.endswith(":"):
+        return False
     verdict = _parses(code)
     if verdict is True:
         return False
-    stripped = code.rstrip()
     last = stripped.count("\n") + 1
     lexed = scan_python(code)
     if lexed in (PREMATURE, UNTERMINATED) and (fenced or not code.endswith("\n")):
