@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from quernlab.llm.syntax.lexer import INVALID, PREMATURE, Broken, Tokens
 
-#: Brackets and blocks may nest this deep; deeper sources count as invalid. Python's own limit is raised to match.
-DEPTH = 1000
-RECURSION = 40 * DEPTH
+#: Calls that a token may take, at most. Nesting is not limited: calls of Python functions lie on the heap,
+#: and the interpreter's limit is raised to what a source of so many tokens can need.
+CALLS = 60
 
 
 class Parser:
@@ -52,8 +52,6 @@ class Parser:
 
     def deeper(self):
         self.depth += 1
-        if self.depth > DEPTH:
-            self.fail()
 
     def joined(self) -> str:
         """The operator at this place, with the '>' and '=' that touch it."""

@@ -5,31 +5,46 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
+from contextlib import contextmanager
 
-from quernlab.llm.syntax.base import RECURSION
+from quernlab.llm.syntax.base import CALLS
 from quernlab.llm.syntax.cpp import Cpp
 from quernlab.llm.syntax.java import Java
 from quernlab.llm.syntax.javascript import JavaScript
-from quernlab.llm.syntax.lexer import INVALID, PREMATURE, Broken, scan, scan_json, scan_python
+from quernlab.llm.syntax.lexer import Broken, scan, scan_json
+from quernlab.llm.syntax.python import parse as parse_python
 
 #: The language of a file's extension.
 LANGUAGES = {"py": "python", "java": "java", "cpp": "cpp", "js": "javascript", "json": "json"}
 _PARSERS = {"java": ("java", Java), "cpp": ("cpp", Cpp), "javascript": ("js", JavaScript)}
 
 
+@contextmanager
+def _deep(text: str):
+    """Within, calls may nest as deep as a text's tokens can ask for."""
+    usual = sys.getrecursionlimit()
+    sys.setrecursionlimit(usual + CALLS * (len(text) + 100))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(usual)
+
+
 def python_defect(text: str) -> str | None:
-    """The lexer's verdict, then Python's own parser, which decides."""
-    lexed = scan_python(text)
+    """The verdict of lexer, stack and grammar; what they call broken, the interpreter's own parser must refuse, too."""
+    try:
+        with _deep(text):
+            parse_python(text)
+        return None
+    except Broken as broken:
+        kind = broken.args[0]
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
         return None
-    except (SyntaxError, ValueError, MemoryError, RecursionError) as error:
-        if lexed:
-            return lexed
-        at_end = isinstance(error, SyntaxError) and (error.lineno or 0) >= text.count("\n") + 1 - text.endswith("\n")
-        return PREMATURE if at_end and "expected" in str(error) else INVALID
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return kind
 
 
 def json_defect(text: str) -> str | None:
@@ -39,15 +54,12 @@ def json_defect(text: str) -> str | None:
 def family_defect(text: str, language: str) -> str | None:
     """Lexer and pushdown stack, then the grammar."""
     lang, parser = _PARSERS[language]
-    if sys.getrecursionlimit() < RECURSION:
-        sys.setrecursionlimit(RECURSION)
     try:
-        parser(scan(text, lang)).program()
+        with _deep(text):
+            parser(scan(text, lang)).program()
         return None
     except Broken as broken:
         return broken.args[0]
-    except RecursionError:
-        return INVALID
 
 
 def defect(text: str | None, language: str | None) -> str | None:
