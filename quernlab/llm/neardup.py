@@ -4,7 +4,8 @@ Records are sets of word shingles. One global order puts frequent shingles last,
 similarity t share at least L of the |S| - ceil(t |S|) + L first shingles of each. The matrix holds,
 for every group of similar sets, the union of those prefixes; the number of a query's prefix shingles
 in a group's column bounds its overlap with every member: beyond them, two sets share at most what lies
-behind the prefix. Only groups whose bound reaches the overlap that similarity t asks of sets of such
+behind the prefix. Shingles that a counter of fixed size shows to be in one set only are left out of
+it. Only groups whose bound reaches the overlap that similarity t asks of sets of such
 sizes are opened, and their members compared exactly. Nothing is capped: the order and the groups only
 decide how much work the exact answer takes.
 """
@@ -15,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quernlab.functions.sketch import TokenHasher, mix64, set_ids, shingle_batch
 from quernlab.llm.arrow import long_lists, sliced
 from quernlab.operators.components import connected_components
+from quernlab.operators.skew import spread_join
 from quernlab.session import materialise
 
 SHINGLE, SIMILARITY = 3, 0.6
@@ -101,15 +102,21 @@ def _prefixes(size: int, similarity: float, needed: int, bits: int, counters):
             overlap = np.ceil(similarity * n - 1e-9).astype(np.int64)
             ell = np.minimum(needed, overlap)
             length = n - overlap + ell
-            values = values[at < np.repeat(length, n)]
+            first = at < np.repeat(length, n)
+            values = values[first]
             starts = np.concatenate([[0], np.cumsum(length)])
             keys = np.zeros(len(n), np.int64)
             if len(values):
                 mixed = mix64(values.view(np.uint64))
                 keys[:] = np.minimum.reduceat(mixed, starts[:-1]).view(np.int64)
+                # A shingle whose counter stands at one is in this set only; it can't link anything and ends here.
+                twice = counts[_slots(values, bits)] > 1
+                doc = np.repeat(np.arange(len(n)), length)
+                values = values[twice]
+                starts = np.concatenate([[0], np.cumsum(np.bincount(doc[twice], minlength=len(n)))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), pa.array(n, pa.int32()), pa.array(ell, pa.int32()), pa.array(keys), long_lists(values, starts)],
-                names=["rep", "n", "ell", "key", "prefix"],
+                [batch.column("rep"), pa.array(n, pa.int32()), pa.array(keys), long_lists(values, starts)],
+                names=["rep", "n", "key", "prefix"],
             )
 
     return run
@@ -143,7 +150,7 @@ class NearDuplicates:
         counters = pairs.sparkSession.sparkContext.broadcast(shingle_counters(texts, size, bits))
         own = texts.join(reps.select(F.col("rep").alias("idx")), "idx", "left_semi").select(F.col("idx").alias("rep"), "text")
         prefixed = materialise(
-            own.mapInArrow(_prefixes(size, similarity, needed, bits, counters), "rep long, n int, ell int, key long, prefix array<long>").where("n > 0")
+            own.mapInArrow(_prefixes(size, similarity, needed, bits, counters), "rep long, n int, key long, prefix array<long>").where("n > 0")
         )
         self.links = materialise(self._links(texts, prefixed, similarity, size, needed))
 
@@ -153,9 +160,7 @@ class NearDuplicates:
             "grp", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rep"), "parts")))
         )
         groups = materialise(grouped.select("grp", "rep", "n"))
-        cells = grouped.select(F.explode("prefix").alias("token"), "rep", "grp", "n", "ell")
-        # Most shingles are in one set only; they can't link anything and end here.
-        shared = materialise(cells.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
+        shared = materialise(grouped.select(F.explode("prefix").alias("token"), "rep", "grp", "n"))
         matrix = shared.groupBy("token", F.col("grp").alias("opened")).agg(F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.max("rep").alias("g_last"))
         t = F.lit(similarity)
         # Sets of n and m shingles need the overlap t / (1 + t) (n + m). What they share beyond the
@@ -169,14 +174,14 @@ class NearDuplicates:
         below = F.when(low <= F.col("n"), needs(F.col("n"), low) - rest(F.col("n")))
         above = F.when(high > F.col("n"), needs(F.col("n"), high) - (t * high + 1) + F.least(F.lit(needed), overlap(high)))
         qualified = (
-            shared.join(matrix, "token")
+            spread_join(shared.select("token", "rep", "n"), matrix, "token")
             .where((F.col("rep") < F.col("g_last")) & (F.col("g_max") >= t * F.col("n") - 1e-9) & (t * F.col("g_min") <= F.col("n") + 1e-9))
             .groupBy("rep", "opened")
             .agg(F.count("*").alias("bound"), F.first("n").alias("n"), F.min("g_min").alias("g_low"), F.max("g_max").alias("g_high"))
             .where((low <= high) & (F.col("bound") >= F.least(below, above) - 1e-6))
         )
         candidates = materialise(
-            qualified.join(groups.select(F.col("grp").alias("opened"), F.col("rep").alias("b"), F.col("n").alias("m")), "opened")
+            spread_join(materialise(qualified), groups.select(F.col("grp").alias("opened"), F.col("rep").alias("b"), F.col("n").alias("m")), "opened")
             .where((F.col("rep") < F.col("b")) & (F.col("m") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("m") - 1e-9))
             .where(F.col("bound") >= needs(F.col("n"), F.col("m")) - F.greatest(rest(F.col("n")), rest(F.col("m"))) - 1e-6)
             .select(F.col("rep").alias("a"), "b").distinct()
