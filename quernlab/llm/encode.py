@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlab.llm.arrow import sliced
+from quernlab.operators.skew import spread_join
 from quernlab.session import materialise
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -145,7 +146,8 @@ def _assembled(documents: DataFrame, path: str, only_sizes: bool, block_chars: i
     blocks = materialise(documents.select("doc_id", "text").mapInArrow(_blocks(block_chars), "block string, doc_id long, codes array<int>, code int, word string"))
     entries = blocks.where("word is not null").select("block", "code", "word")
     encoded = entries.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids array<int>")
-    dictionary = entries.join(encoded, "word").select(F.col("block").alias("of_block"), "code", "ids")
+    # A frequent word has a row in every block, so its rows are dealt to several tasks.
+    dictionary = spread_join(entries, encoded, "word").select(F.col("block").alias("of_block"), "code", "ids")
     docs = blocks.where("word is null").select("block", "doc_id", "codes")
     schema = "doc_id long, n_tokens long" if only_sizes else "doc_id long, ids array<int>"
     return docs.groupBy("block").cogroup(dictionary.groupBy("of_block")).applyInArrow(_reassemble(only_sizes), schema)
