@@ -61,6 +61,15 @@ def _within(seconds: float):
         signal.setitimer(signal.ITIMER_REAL, 0)
 
 
+# Functions of os that a program under test must not have: those of processes, of rights, of places, of files.
+_MISSING = (
+    "kill", "killpg", "system", "fork", "forkpty", "execv", "execve", "execvp", "spawnv", "posix_spawn",
+    "putenv", "setuid", "setgid", "chmod", "fchmod", "lchmod", "chown", "fchown", "lchown", "chflags", "lchflags",
+    "chdir", "fchdir", "chroot",
+    "remove", "unlink", "rmdir", "removedirs", "rename", "renames", "replace", "truncate",
+)
+
+
 def _confine() -> None:
     """Limits and missing functions, in the child only."""
     for what, most in ((resource.RLIMIT_AS, MEMORY_BYTES), (resource.RLIMIT_FSIZE, OUTPUT_BYTES), (resource.RLIMIT_CORE, 0)):
@@ -73,7 +82,7 @@ def _confine() -> None:
     def missing(*_, **__):
         raise PermissionError("not available here")
 
-    for name in "kill killpg system putenv remove removedirs rmdir fchdir setuid setgid fork forkpty rename renames truncate replace unlink fchmod fchown chmod chown chroot lchown chdir execv execve execvp spawnv posix_spawn".split():
+    for name in _MISSING:
         if hasattr(os, name):
             setattr(os, name, missing)
     for name in ("rmtree", "move", "chown"):

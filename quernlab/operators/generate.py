@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlab.functions.text import clean_code, judge_prompt, judge_score, style_prompt, synthesis_prompt
+from quernlab.functions.text import clean_code, clean_reply, judge_prompt, judge_score, style_prompt, synthesis_prompt
 from quernlab.session import materialise
 
 Client = Callable[[str], str]
@@ -56,7 +56,14 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "idx") -> Data
 
 
 def rewrite_style(pairs: DataFrame, load: Callable[[], Client], mode: str = "referenced") -> DataFrame:
-    """``pairs`` (idx, instruction, output, ...) with ``output`` rewritten; a failed call leaves it as it was."""
+    """``pairs`` (idx, instruction, output, ...) with ``output`` rewritten; a failed call leaves it as it was.
+
+    Every row comes back once, whatever the order in which the replies come in: an idx that is null
+    or not unique, which would pair a row with another's reply, is an error.
+    """
+    keyed = pairs.groupBy("idx").agg(F.count("*").alias("n")).where("idx is null or n > 1").limit(1).collect()
+    if keyed:
+        raise ValueError(f"idx must tell rows apart: {keyed[0]['idx']!r}")
     prompts = pairs.select("idx", style_prompt(mode, "instruction", "output").alias("prompt"))
     replies = complete(prompts, load).select("idx", "reply")
     return pairs.join(replies, "idx", "left").withColumn("output", F.coalesce("reply", "output")).drop("reply")
@@ -77,7 +84,7 @@ def synthesise(samples: DataFrame, load: Callable[[], Client], passes: Callable[
                 code, ok = "", False
                 for _ in range(attempts):
                     try:
-                        code = plain(client(prompt))
+                        code = clean_reply(client(prompt))
                         ok = passes(tests, code)
                     except Exception:
                         code, ok = "", False
@@ -87,11 +94,6 @@ def synthesise(samples: DataFrame, load: Callable[[], Client], passes: Callable[
                 passed.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(codes, pa.string()), pa.array(passed)], names=["idx", "_code", "passed"])
 
-    import re
-
-    def plain(text: str) -> str:
-        return re.sub(r"\s*```$", "", re.sub(r"^\s*```python\s*", "", text or "")).strip()
-
     made = samples.select("idx", synthesis_prompt("question").alias("prompt"), "tests").mapInArrow(run, "idx long, _code string, passed boolean")
     return samples.join(made, "idx").withColumn("solutions", F.col("_code")).drop("_code")
 

@@ -64,6 +64,29 @@ def mean_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return (states * weight).sum(axis=1) / weight.sum(axis=1)
 
 
+Encoder = Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def encoder_scorer(load: Callable[[], Encoder], weights: np.ndarray, bias: float = 0.0, pool=mean_pool, max_length: int | None = MAX_LENGTH) -> Callable[[], Scorer]:
+    """A ``load`` for ``score_pairs`` from a model: its states (pair, position, dimension) and mask are pooled, and a linear head makes the score.
+
+    ``load`` makes the encoder once per worker; it gets texts already cut to ``max_length``. A pair without a position scores nothing.
+    """
+
+    def make() -> Scorer:
+        encode = load()
+
+        def run(instructions: list[str], answers: list[str]) -> list[float]:
+            states, mask = (np.asarray(x) for x in encode(instructions, answers))
+            scores = pool(states, mask) @ np.asarray(weights) + bias
+            return [float(s) if some else None for s, some in zip(scores, mask.any(axis=1))]
+
+        run.max_length = max_length
+        return run
+
+    return make
+
+
 def rank_pairs(scored: DataFrame, key: str = "idx", score: str = "score", rows: int | None = None) -> DataFrame:
     """``scored`` with ``rank``: by score from high to low, ties by key, null scores last."""
     return distributed_rank(scored, F.desc_nulls_last(score), F.asc(key), rows=rows)

@@ -15,7 +15,7 @@ from quernlab.functions.scan import scan_code
 from quernlab.operators import dedup, evaluate, findings, selection, split
 from quernlab.plans import techniques
 from quernlab.plans.oracles import SQL
-from quernlab.session import materialise, scratch, table
+from quernlab.session import scratch, spread, table
 from quernlab.sources import reading, writing
 
 NEAR_N, NEAR_T = 3, 0.5
@@ -44,6 +44,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "all_code").select("path", "code").dropDuplicates(["path"])
 
 
+def _python_files(spark: SparkSession, d: str) -> DataFrame:
+    """The Python files, each id once, dealt to tasks for a costly stage."""
+    return spread(table(spark, d, "all_code").where("path like '%.py'").dropDuplicates(["id"]))
+
+
 def _unreadable(spark: SparkSession, d: str) -> DataFrame:
     """The files that a scan reports as errors here: those without text."""
     return _files(spark, d).where("code is null or trim(code) = ''").select("path")
@@ -112,7 +117,7 @@ def _pass_ratios(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         chosen = _samples(spark, d).where("dataset = 'mbpp'" if kind == "mbpp" else "dataset <> 'mbpp'")
         rows = chosen.select("idx", tests_of().alias("tests"), F.col("solutions").alias("code"))
-        return pass_ratios(rows.repartition("idx"), ["idx"])
+        return pass_ratios(spread(rows), ["idx"])
 
     return run
 
@@ -144,7 +149,7 @@ def queries() -> dict:
         "select_topk": lambda s, d: selection.filter_pairs(_scored(s, d), topk=100),
         "select_threshold": lambda s, d: selection.filter_pairs(_scored(s, d), threshold=6.0),
         "rank_pairs": lambda s, d: selection.rank_pairs(_scored(s, d)),
-        "select_scored": lambda s, d: selection.select(_samples(s, d), keep_columns=True).select("idx", "score"),
+        "select_scored": lambda s, d: selection.select(spread(_samples(s, d)), keep_columns=True).select("idx", "score"),
         # duplicates
         "near_dup_pairs": lambda s, d: _near(s, d).links,
         "near_dup_clusters": lambda s, d: _near(s, d).clusters().select(F.col("id").alias("idx"), "cluster_id", "n_links"),
@@ -214,14 +219,14 @@ def queries() -> dict:
         "jsonl_roundtrip": _jsonl_roundtrip,
         "summary_lines": lambda s, d: writing.summary_lines(t(s, d, "eval_summary")),
         # Python source
-        "aug_variants": lambda s, d: code_variants(_samples(s, d)),
-        "refactor": lambda s, d: refactor(_samples(s, d)).select("idx", "solutions", "code"),
-        "scan_code": lambda s, d: scan_code(t(s, d, "all_code").where("path like '%.py'").dropDuplicates(["id"])),
+        "aug_variants": lambda s, d: code_variants(spread(_samples(s, d))),
+        "refactor": lambda s, d: refactor(spread(_samples(s, d))).select("idx", "solutions", "code"),
+        "scan_code": lambda s, d: scan_code(_python_files(s, d)),
         "aug_kept": lambda s, d: techniques.augmentation(_samples(s, d), order=False).groupBy("transform").agg(F.count("*").alias("n")),
         "cle_split": lambda s, d: findings.split_counts(techniques.cleaning(t(s, d, "all_code").where("path like '%.py'").dropDuplicates(["id"]).select(F.col("id").alias("idx"), F.col("code").alias("solutions")))),
         "evaluate_generations": lambda s, d: techniques.evaluation(_samples(s, d).where("split in ('valid', 'test')"), t(s, d, "all_code").where("path like '%.py'").select("id", "code"), k=5),
-        "mi_score": lambda s, d: t(s, d, "all_code").where("path like '%.py'").dropDuplicates(["id"]).select("id", score_column("code", maintainability).alias("mi")),
-        "lint_rating": lambda s, d: t(s, d, "all_code").where("path like '%.py'").dropDuplicates(["id"]).select("id", score_column("code", lint_rating).alias("rating")),
+        "mi_score": lambda s, d: _python_files(s, d).select("id", score_column("code", maintainability).alias("mi")),
+        "lint_rating": lambda s, d: _python_files(s, d).select("id", score_column("code", lint_rating).alias("rating")),
         "mbpp_ratio": _pass_ratios("mbpp"),
         "io_ratio": _pass_ratios("io"),
     }

@@ -18,16 +18,7 @@ from quernlab.functions.sandbox import pass_ratios
 from quernlab.functions.scan import scan_code
 from quernlab.functions.text import normalize_dataset
 from quernlab.operators import evaluate, findings, generate, selection
-from quernlab.session import materialise
-
-#: Model families by the names they go by, and the token that ends their texts.
-MODELS = {
-    "qwen1.5": ("Qwen/Qwen2.5-Coder-1.5B-Instruct", "</s>"),
-    "qwen3": ("Qwen/Qwen2.5-Coder-3B-Instruct", "</s>"),
-    "llama1": ("meta-llama/Llama-3.2-1B-Instruct", "<|eot_id|>"),
-    "llama3": ("meta-llama/Llama-3.2-3B-Instruct", "<|eot_id|>"),
-}
-
+from quernlab.session import materialise, spread
 
 def training_path(root: str, dataset: str, technique: str | None = None) -> str:
     """Where a dataset's training table lies, after a technique or as it was."""
@@ -44,8 +35,8 @@ def augmentation(samples: DataFrame, isolation: str = "per_test", seed: int = 42
     """
     own = samples.withColumn("transform", F.lit(None).cast("string"))
     unique = samples.dropDuplicates(["idx"]).withColumn("tests", tests_of())
-    tried = materialise(code_variants(unique).join(unique.select("idx", "tests"), "idx").where("tests is not null"))
-    ratios = pass_ratios(tried.repartition("idx", "transform"), ["idx", "transform", "code"], isolation=isolation)
+    tried = materialise(code_variants(spread(unique)).join(unique.select("idx", "tests"), "idx").where("tests is not null"))
+    ratios = pass_ratios(spread(tried), ["idx", "transform", "code"], isolation=isolation)
     kept = ratios.where("ratio = 1.0").select("idx", "transform", F.col("code").alias("_code"))
     new = unique.drop("tests").join(kept, "idx").withColumn("solutions", F.col("_code")).drop("_code")
     both = own.unionByName(new.select(own.columns))
@@ -55,7 +46,7 @@ def augmentation(samples: DataFrame, isolation: str = "per_test", seed: int = 42
 
 def cleaning(samples: DataFrame, code: str = "solutions") -> DataFrame:
     """``samples`` with ``bucket``: clean, defective or syntax_error by the scanner."""
-    scanned = materialise(scan_code(samples.select(F.col("idx").alias("path"), F.col(code).alias("code")).dropDuplicates(["path"])))
+    scanned = materialise(scan_code(spread(samples.select(F.col("idx").alias("path"), F.col(code).alias("code")).dropDuplicates(["path"]))))
     split = findings.split_three_way(samples.withColumn("path", F.col("idx")), scanned.where("not is_error"), scanned.where("is_error"))
     return split.drop("path")
 
@@ -112,13 +103,14 @@ def generation_runs(items: DataFrame, generations: DataFrame, isolation: str = "
     """(idx, j, ratio): generations (id, code) run once against the tests of their items; for all metrics to read."""
     named = evaluate.split_generation_id(generations.dropDuplicates(["id"])).where("idx is not null")
     tests = items.dropDuplicates(["idx"]).select("idx", tests_of().alias("tests"))
-    return materialise(pass_ratios(named.join(tests, "idx").repartition("idx", "j"), ["idx", "j"], isolation=isolation, **limits))
+    return materialise(pass_ratios(spread(named.join(tests, "idx")), ["idx", "j"], isolation=isolation, **limits))
 
 
 def evaluation(items: DataFrame, generations: DataFrame, k: int = 1, isolation: str = "shared") -> DataFrame:
-    """One row: pass@1, average pass ratio, lint rating and maintainability of the generations of items."""
+    """One row: pass@1, average pass ratio, lint rating and maintainability of the generations of items, each id once."""
+    generations = generations.dropDuplicates(["id"])
     runs = generation_runs(items, generations, isolation)
-    scores = generations.select(score_column("code", lint_rating).alias("lint"), score_column("code", maintainability).alias("mi"))
+    scores = spread(generations).select(score_column("code", lint_rating).alias("lint"), score_column("code", maintainability).alias("mi"))
     means = scores.agg(F.coalesce(F.avg("lint"), F.lit(0.0)).alias("avg_code_smell_score"), F.coalesce(F.avg("mi"), F.lit(0.0)).alias("avg_mi_score"))
     first = evaluate.pass_at_k(items, runs, 1).select(F.col("pass_at_k").alias("test_pass1"))
     best = evaluate.average_pass_ratio(items, runs, k).select("avg_pass_ratio")
