@@ -69,7 +69,7 @@ def _attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pairs").select("idx", F.concat_ws(" ", F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit(""))).alias("text"))
+    return table(spark, d, "pairs", wide=True).select("idx", F.concat_ws(" ", F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit(""))).alias("text"))
 
 
 def _near(spark: SparkSession, d: str) -> dedup.SimilarSets:
@@ -152,6 +152,7 @@ def queries() -> dict:
         "select_scored": lambda s, d: selection.select(spread(_samples(s, d)), keep_columns=True).select("idx", "score"),
         # duplicates
         "near_dup_pairs": lambda s, d: _near(s, d).links,
+        "near_dup_members": lambda s, d: _near(s, d).members.select(F.col("id").alias("idx"), "rep"),
         "near_dup_clusters": lambda s, d: _near(s, d).clusters().select(F.col("id").alias("idx"), "cluster_id", "n_links"),
         "near_dup_keep": _near_dup_keep,
         "minhash_pairs": _minhash_pairs,

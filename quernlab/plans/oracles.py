@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quernlab.functions import text as X
+from quernlab.sources.writing import SUMMARY_FIELDS
 
 
 def _q(text: str) -> str:
@@ -76,8 +77,13 @@ SQL = {
     "select_threshold": f"WITH {_SCORED} SELECT idx, score FROM scored WHERE score >= 6.0",
     "rank_pairs": f"WITH {_SCORED} SELECT idx, score, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM scored",
     "near_dup_pairs": f"WITH {_GRAMS} SELECT a, b, similarity FROM links",
+    "near_dup_members": f"WITH {_GRAMS} SELECT idx, rep FROM members",
     "near_dup_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT idx, cluster_id, n_links FROM clusters",
     "near_dup_keep": f"WITH RECURSIVE {_CLUSTERS} SELECT idx FROM pairs WHERE idx NOT IN (SELECT idx FROM clusters WHERE idx <> cluster_id)",
+    "select_scored": r"""WITH s AS (SELECT DISTINCT idx, list_distinct(regexp_extract_all(lower(coalesce(solutions, '')), '(?:[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])+')) AS given,
+    regexp_extract_all(lower(coalesce(question, '')), '(?:[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])+') AS asked FROM samples),
+  scored AS (SELECT idx, CASE WHEN len(given) > 0 THEN len(list_intersect(given, asked))::DOUBLE / len(given) ELSE 0.0 END AS score FROM s)
+  SELECT idx, score FROM scored QUALIFY row_number() OVER (ORDER BY score DESC, idx) <= floor((SELECT count(*) FROM scored) * 0.2::DOUBLE)""",
     "exact_dups": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "split_three_way": f"WITH {_FILES} SELECT path, bucket FROM split",
     "split_counts": f"WITH {_FILES} SELECT bucket, count(*) AS n FROM split GROUP BY bucket",
@@ -147,6 +153,18 @@ SQL = {
     "extract_code": f"SELECT idx, {_strip(f"split_part({_EXTRACT}, '</s>', 1)")} AS code FROM pairs",
     "clean_code": f"SELECT idx, {_strip(_CLEAN)} AS code FROM pairs",
     "issue_names": "SELECT regexp_extract(check_id, '[^.]+$') AS issue, count(*) AS n, count(cwe) AS n_cwe FROM scan_findings GROUP BY 1",
+    "judge_score": r"""WITH t AS (SELECT row_number() OVER () AS r, idx, aspect, replace(regexp_replace(lower(content), '[()-]', '', 'g'), 'out of', '/') AS text FROM judged),
+  v AS (SELECT r, list_concat(
+      list_transform(list_filter(flatten(list_transform(list_filter(regexp_extract_all(text, '(?m)(?:^[\d. ]+)?(.+?)(?:\. |$)', 1), lambda x: contains(x, 'score') OR list_has_any([true], list_transform(string_split(coalesce(aspect, ''), ' '), lambda w: w <> '' AND contains(x, w)))),
+        lambda x: string_split_regex(x, '\s+'))), lambda w: regexp_full_match(w, '\d+(?:/4)?\.*')), lambda w: regexp_extract(w, '^\d+')),
+      """ + ",\n      ".join(f"regexp_extract_all(text, '{form}', 1)" for form in X.SCORE_FORMS) + r""") AS votes FROM t),
+  u AS (SELECT r, unnest(votes)::DOUBLE AS score, generate_subscripts(votes, 1) AS place FROM v),
+  w AS (SELECT r, score, count(*) AS n, min(place) AS place FROM u WHERE score <= 9 GROUP BY r, score),
+  b AS (SELECT r, first(score ORDER BY n DESC, place) AS score FROM w GROUP BY r)
+  SELECT idx, aspect, coalesce(score, CASE WHEN contains(text, 'n/a') THEN 0.0 END) AS score FROM t LEFT JOIN b USING (r)""",
+    "summary_lines": "SELECT concat_ws(chr(10), " + ", ".join(
+        f"'{c}=' || coalesce(printf('%.4f', {c}), 'None')" if c.endswith("pass1") else f"'{c}=' || coalesce({c}::VARCHAR, 'None')" for c in SUMMARY_FIELDS
+    ) + ") AS value FROM eval_summary",
     "sample_tests": "SELECT DISTINCT idx, CASE WHEN dataset = 'mbpp' THEN to_json(test_list)::VARCHAR ELSE input_output END AS tests FROM samples",
     "test_functions": "SELECT DISTINCT idx, CASE WHEN json_valid(input_output) THEN json_extract_string(input_output, '$.fn_name') END AS fn_name FROM samples WHERE dataset <> 'mbpp'",
     "jsonl_roundtrip": "SELECT idx, dataset, question, solutions, input_output, coalesce(len(test_list), 0)::INT AS n_tests FROM samples",

@@ -365,3 +365,63 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"idx": 1, "solutions": "x = \\"a\\""}\n')
     apply_stream(read_stream(spark, str(tmp_path / "in")), techniques.refactoring, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).first()["solutions"] == "x = 'a'\n"
+
+
+# scanner
+
+
+@pytest.mark.parametrize("source, check", [
+    ("import requests\nrequests.get(u, verify=False)\n", "security.unverified-tls"), ("c.execute(f'select {x}')\n", "security.built-query"), ("c.execute('select %s' % x)\n", "security.built-query"), ("password = 'hunter22'\n", "security.secret-in-source"),
+    ("app.run(debug=True)\n", "security.debug-server"), ("os.chmod(p, 0o777)\n", "security.wide-rights"), ("tempfile.mktemp()\n", "security.guessable-file"), ("a = eval(x)\n", "security.dynamic-eval"), ("subprocess.run(c, shell=True)\n", "security.shell-true"),
+    ("assert (x, 'm')\n", "correctness.assert-tuple"), ("d = {'a': 1, 'a': 2}\n", "correctness.doubled-key"), ("raise 'x'\n", "correctness.raise-unfit"), ("a == b\n", "correctness.useless-compare"), ("def f():\n    return 1\n    x = 2\n", "correctness.code-after-end"), ("x = x\n", "correctness.self-assignment"),
+    ("for a in b:\n    b.remove(a)\n", "correctness.changed-while-read"), ("try:\n    f()\nfinally:\n    return\n", "correctness.return-in-finally"), ("if x == None:\n    f()\n", "best-practice.compare-none"), ("from a import *\n", "best-practice.star-import"), ("breakpoint()\n", "best-practice.leftover-breakpoint"),
+    ("for i in range(len(a)):\n    f(i)\n", "maintainability.index-loop"), ("m = sorted(a)[0]\n", "performance.sorted-first"), ("s = sum([x for x in y])\n", "performance.list-of-comprehension"), ("f = open(p)\n", "best-practice.open-unclosed"),
+])
+def test_rules(source, check):
+    from quernlab.functions.scan import findings_of
+
+    assert f"quern.{check}" in {rule.check_id for rule, _ in findings_of(source)}
+    assert not list(findings_of("import math\n\n\ndef area(radius):\n    return math.pi * radius**2\n"))
+
+
+def test_long_sources_are_scanned(spark):
+    source = "x = 1\n" * 200_000 + "y = eval(x)\n"
+    found = scan_code(spark.createDataFrame([("a", source)], "path string, code string")).collect()
+    assert [(r["is_error"], r["check_id"], r["line"]) for r in found] == [(False, "quern.security.dynamic-eval", 200_001)]
+
+
+# models
+
+
+def test_encoder_scorer(spark):
+    def load():
+        def encode(instructions, answers):
+            sizes = [len(a.split()) for a in answers]
+            states = np.array([[[float(len(i)), 1.0]] * max([1, *sizes]) for i in instructions])
+            return states, np.array([[k < n for k in range(max([1, *sizes]))] for n in sizes])
+
+        return encode
+
+    df = spark.createDataFrame([(1, "abc", "x y"), (2, "abcd", "x"), (3, "a", None)], "idx long, question string, solutions string")
+    scored = selection.score_pairs(df, selection.encoder_scorer(load, np.array([2.0, 1.0]), 0.5))
+    assert rows(scored, "idx", "score") == [(1, 7.5), (2, 9.5), (3, None)]
+
+
+def test_style_needs_rows_told_apart(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], "idx long, instruction string, output string")
+    with pytest.raises(ValueError):
+        generate.rewrite_style(df, lambda: lambda prompt: "x")
+    assert rows(generate.rewrite_style(df.limit(1), lambda: lambda prompt: "x"), "idx", "output") == [(1, "x")]
+
+
+def test_words_and_marks(spark):
+    df = spark.createDataFrame([(1, "Sum, then stop."), (2, "sum , then stop ."), (3, "other words stand here")], "id long, text string")
+    assert rows(dedup.SimilarSets(df, "id", "text", 2, 0.9, dedup.PUNCTUATED).members) == [(1, 1), (2, 1), (3, 3)]
+    assert rows(dedup.SimilarSets(df, "id", "text", 2, 0.9).members) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_evaluation_counts_an_id_once(spark):
+    items = spark.createDataFrame([(1, "mbpp", None, ["assert f(1) == 1"])], "idx long, dataset string, input_output string, test_list array<string>")
+    once = spark.createDataFrame([("1_0", "def f(x):\n    return x\n"), ("1_1", "import os, sys\ndef f(x):\n    return 2\n")], "id string, code string")
+    again = once.unionByName(once.where("id = '1_1'"))
+    assert rows(techniques.evaluation(items, again, 2)) == rows(techniques.evaluation(items, once, 2)) and techniques.evaluation(items, once, 2).first()["test_pass1"] == 1.0
