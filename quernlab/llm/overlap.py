@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,19 +32,35 @@ def _text_sets(size: int):
             values, offsets = shingle_batch(batch.column("text").to_pylist(), size, hasher)
             filled = pa.array(np.diff(offsets) > 0)
             ids = pa.array(set_ids(values, offsets), pa.binary())
-            arrays = [batch.column("idx"), batch.column("stamp"), batch.column("train"), ids, long_lists(values, offsets)]
-            yield pa.RecordBatch.from_arrays([x.filter(filled) for x in arrays], names=["idx", "stamp", "train", "set_id", "grams"])
+            yield pa.RecordBatch.from_arrays([x.filter(filled) for x in (batch.column("idx"), batch.column("stamp"), batch.column("train"), ids)], names=["idx", "stamp", "train", "set_id"])
 
     return run
 
 
-def _band_keys(bands: int, rows: int, seed: int):
+def _own(batch: pa.RecordBatch, values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Whether a row has the set of its class; rows that were read with another text have not."""
+    return pa.array([a == b for a, b in zip(set_ids(values, offsets), batch.column("set_id").to_pylist())], pa.bool_())
+
+
+def _band_keys(size: int, bands: int, rows: int, seed: int):
+    def run(batches):
+        hasher = TokenHasher()
+        for batch in sliced(batches):
+            values, offsets = shingle_batch(batch.column("text").to_pylist(), size, hasher)
+            own, keys = _own(batch, values, offsets), fixed_lists(minhash_bands(values, offsets, bands, rows, seed))
+            arrays = [*(batch.column(c) for c in ("rep", "has_train", "has_eval")), keys]
+            yield pa.RecordBatch.from_arrays([x.filter(own) for x in arrays], names=["rep", "has_train", "has_eval", "keys"])
+
+    return run
+
+
+def _grams(size: int):
     def run(batches):
+        hasher = TokenHasher()
         for batch in sliced(batches):
-            grams = batch.column("grams")
-            offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(grams).to_numpy())])
-            keys = fixed_lists(minhash_bands(grams.flatten().to_numpy(), offsets, bands, rows, seed))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "has_train", "has_eval")), keys], names=["rep", "has_train", "has_eval", "keys"])
+            values, offsets = shingle_batch(batch.column("text").to_pylist(), size, hasher)
+            own = _own(batch, values, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(own), long_lists(values, offsets).filter(own)], names=["rep", "grams"])
 
     return run
 
@@ -96,19 +111,16 @@ def question_links(samples: DataFrame, similarity: float = SIMILARITY, size: int
     several times counts once; should its copies differ, the last loaded one counts.
     """
     source = split_rows(samples).select("idx", "train", "stamp", F.col("question").alias("text"))
-    read = materialise(source.mapInArrow(_text_sets(size), "idx long, stamp long, train boolean, set_id binary, grams array<long>"))
+    read = source.mapInArrow(_text_sets(size), "idx long, stamp long, train boolean, set_id binary")
     members = materialise(read.groupBy("idx").agg(F.max_by(F.struct("train", "set_id"), F.struct("stamp", "set_id")).alias("m")).select("idx", "m.train", "m.set_id"))
-    classes = _classes(members)
-    # One row per class carries its set on, read from the row of the least idx that has this very set.
-    sets = materialise(
-        read.select("idx", "set_id", "grams")
-        .join(classes.select(F.col("rep").alias("idx"), "set_id", "has_train", "has_eval"), ["idx", "set_id"]).dropDuplicates(["idx"])
-        .select(F.col("idx").alias("rep"), "has_train", "has_eval", "grams")
-    )
-    discard(read)
-    banded = materialise(sets.mapInArrow(_band_keys(bands, rows, seed), "rep long, has_train boolean, has_eval boolean, keys array<long>"))
+    classes = materialise(_classes(members))
+    # One row per class carries its text on: that of the least idx, where it has this very set.
+    texts = source.select("idx", "text").join(classes.withColumn("idx", F.col("rep")), "idx").select("rep", "set_id", "has_train", "has_eval", "text")
+    banded = materialise(texts.mapInArrow(_band_keys(size, bands, rows, seed), "rep long, has_train boolean, has_eval boolean, keys array<long>"))
     candidates = materialise(_meeting(banded.select("rep", "has_train", "has_eval", F.explode("keys").alias("key")), "key"))
     discard(banded)
+    wanted = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
+    sets = texts.join(wanted, "rep", "left_semi").select("rep", "set_id", "text").mapInArrow(_grams(size), "rep long, grams array<long>").dropDuplicates(["rep"])
     both = F.size(F.array_intersect("ga", "gb"))
     close = (
         candidates.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
