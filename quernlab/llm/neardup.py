@@ -21,7 +21,7 @@ from quernlab.functions.sketch import TokenHasher, mix64, set_ids, shingle_batch
 from quernlab.llm.arrow import long_lists, sliced
 from quernlab.operators.components import connected_components
 from quernlab.operators.skew import spread_join
-from quernlab.session import materialise
+from quernlab.session import discard, materialise
 
 SHINGLE, SIMILARITY = 3, 0.6
 #: Common prefix shingles asked for (L); sets with a smaller needed overlap ask for that.
@@ -43,27 +43,23 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _members(size: int):
-    def run(batches):
-        hasher = TokenHasher()
-        for batch in sliced(batches):
-            values, offsets = shingle_batch(batch.column("text").to_pylist(), size, hasher)
-            filled = pa.array(np.diff(offsets) > 0)
-            ids = pa.array(set_ids(values, offsets), pa.binary()).filter(filled)
-            yield pa.RecordBatch.from_arrays([batch.column("idx").filter(filled), ids], names=["idx", "set_id"])
+_READ = "idx long, set_id binary, block int, counts binary"
 
-    return run
 
+def _read(size: int, bits: int):
+    """A row (idx, set_id) per text with shingles, and at a task's end its counters in rows (block, counts)."""
 
-def _count(size: int, bits: int):
     def run(batches):
         hasher, counts = TokenHasher(), np.zeros(1 << bits, np.int32)
         for batch in sliced(batches):
-            values, _ = shingle_batch(batch.column("text").to_pylist(), size, hasher)
+            values, offsets = shingle_batch(batch.column("text").to_pylist(), size, hasher)
             np.add.at(counts, _slots(values, bits), 1)
+            filled = pa.array(np.diff(offsets) > 0)
+            ids = pa.array(set_ids(values, offsets), pa.binary()).filter(filled)
+            yield pa.RecordBatch.from_arrays([batch.column("idx").filter(filled), ids, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["idx", "set_id", "block", "counts"])
         for block, part in enumerate(np.split(counts, 1 << (bits - _BLOCK))):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["idx", "set_id", "block", "counts"])
 
     return run
 
@@ -78,12 +74,10 @@ def _sum_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def shingle_counters(texts: DataFrame, size: int = SHINGLE, bits: int = COUNTER_BITS) -> np.ndarray:
+def shingle_counters(read: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     """How often the shingles of each hash slot occur in all texts: one array of 2**bits counters."""
-    blocks = (
-        texts.select("text").mapInArrow(_count(size, bits), "block int, counts binary")
-        .repartition(min(32, 1 << (bits - _BLOCK)), "block").mapInArrow(_sum_blocks, "block int, counts binary")
-    )
+    parts = read.where("block is not null").select("block", "counts")
+    blocks = parts.repartition(min(32, 1 << (bits - _BLOCK)), "block").mapInArrow(_sum_blocks, "block int, counts binary")
     total = np.zeros(1 << bits, np.int32)
     for row in blocks.toLocalIterator():  # 2**(bits - 16) rows of 256 KB
         total[row["block"] << _BLOCK : (row["block"] + 1) << _BLOCK] = np.frombuffer(row["counts"], np.int32)
@@ -143,11 +137,13 @@ class NearDuplicates:
 
     def __init__(self, pairs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, needed: int = NEEDED, bits: int = COUNTER_BITS):
         texts = _text(pairs)
-        sets = materialise(texts.mapInArrow(_members(size), "idx long, set_id binary")).distinct()
+        read = materialise(texts.mapInArrow(_read(size, bits), _READ))
+        sets = read.where("block is null").select("idx", "set_id").distinct()
         classes = sets.groupBy("set_id").agg(F.min("idx").alias("rep"))
         self.members = materialise(sets.join(classes, "set_id").select("idx", "rep"))
         reps = self.members.where("idx = rep").select("rep").distinct()
-        counters = pairs.sparkSession.sparkContext.broadcast(shingle_counters(texts, size, bits))
+        counters = pairs.sparkSession.sparkContext.broadcast(shingle_counters(read, bits))
+        discard(read)
         own = texts.join(reps.select(F.col("rep").alias("idx")), "idx", "left_semi").select(F.col("idx").alias("rep"), "text")
         prefixed = materialise(
             own.mapInArrow(_prefixes(size, similarity, needed, bits, counters), "rep long, n int, key long, prefix array<long>").where("n > 0")
