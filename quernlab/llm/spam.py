@@ -12,6 +12,7 @@ the start as prior; the counts are tables of states by symbols and states by sta
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ _SHOW = np.array([
 ])
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\[[^\]\n]*\]\([^)\s]*\)|\b(?:[\w-]+\.)+(?:com|org|net|io|dev|example|test|invalid)\b", re.IGNORECASE)
+_LINKED = re.compile(r"://|www\.|\]\(|\.[\w-]+[\w.-]*/|\.(?:com|org|net|io|dev|example|test|invalid)\b", re.IGNORECASE)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_]+(?:['’-][^\W_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|(?<=[。！？])")
@@ -98,17 +100,18 @@ def _pieces(text: str) -> list[tuple[str, bool]]:
 
 def _symbol(piece: str, words: list[str], repeated: float, bigrams: float) -> str:
     bare = piece.strip()
-    linked = sum(m.end() - m.start() for m in _URL.finditer(bare))
+    # Each pattern is tried only where a character that it needs is there.
+    linked = sum(m.end() - m.start() for m in _URL.finditer(bare)) if _LINKED.search(bare) else 0
     if linked >= 0.5 * len(bare):
         return "link"
-    tokens = bare.split()
+    tokens = bare.split() if "#" in bare else ()
     if len(tokens) >= 2 and sum(t[0] == "#" and len(t) > 1 and t[1].isalpha() for t in tokens) >= 0.6 * len(tokens):
         return "hashtag"
     n = len(words)
-    letters, digits = sum(c.isalpha() for c in bare), sum(c.isdigit() for c in bare)
+    letters, digits = sum(map(str.isalpha, bare)), sum(map(str.isdigit, bare))
     if not n or (digits >= 0.5 * (digits + letters) and not _PRICE.search(bare)):
         return "data"
-    cjk = len(_CJK.findall(bare))
+    cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     size = n if cjk < 0.5 * n else n / 2
     if size >= 9 and _END.search(bare) and len(set(words)) >= 0.8 * n:
         return "sentence"  # however often the page has it
@@ -116,25 +119,26 @@ def _symbol(piece: str, words: list[str], repeated: float, bigrams: float) -> st
         return "repeat"
     if n >= 12 and repeated >= 0.6 and len(set(words)) <= 0.5 * n:
         return "repeat"
-    short_form = n <= 12 and not _END.search(bare)
-    if short_form and n >= 2 and (_PRICE.search(bare) or _SKU.search(bare)) and letters >= 0.35 * len(bare) and not _CODE.search(bare):
+    ended = bool(_END.search(bare))
+    short_form = n <= 12 and not ended
+    if short_form and n >= 2 and digits and (_PRICE.search(bare) or _SKU.search(bare)) and letters >= 0.35 * len(bare) and not _CODE.search(bare):
         return "product"
-    items = [i for i in _ITEM.split(_DEFINITION.sub("", bare)) if i.strip()]
+    items = [i for i in _ITEM.split(_DEFINITION.sub("", bare)) if i.strip()] if n >= 5 else ()
     if len(items) >= 5:
         sizes = [len(_WORD.findall(i)) for i in items]
         if sum(s <= 4 for s in sizes) >= 0.85 * len(items) and sum(sizes) <= 3.2 * len(items) and letters >= 0.5 * len(bare):
             return "items"
-    if _CODE.search(piece) and not (_END.search(bare) and n >= 8 and bare[0].isupper()):
+    if _CODE.search(piece) and not (ended and n >= 8 and bare[0].isupper()):
         return "code"
     if digits >= 0.5 * (digits + letters):
         return "data"
     if _BULLET.match(piece) and size >= 4:
         return "sentence"
-    if _END.search(bare) and size >= 5:
+    if ended and size >= 5:
         return "sentence"
     if _DEFINITION.match(bare) and size >= 4:
         return "definition"
-    if _END.search(bare) and size >= 2:
+    if ended and size >= 2:
         return "long" if size >= 4 else "short"
     return "short" if size <= 3 else "long"
 
@@ -143,28 +147,23 @@ def read_page(text: str) -> tuple[list[int], list[int]]:
     """The symbols of a page's lines, and their lengths in characters."""
     pieces = _pieces(text)
     words = [[w.lower() for w in _WORD.findall(p)] for p, _ in pieces]
-    count: dict[str, int] = {}
-    pairs: dict[tuple, int] = {}
+    count: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
     total = 0
-    previous: list[list[tuple]] = []
     for own in words:
         total += len(own)
-        for w in own:
-            count[w] = count.get(w, 0) + 1
-        twos = list(zip(own, own[1:]))
-        previous.append(twos)
-        for two in twos:
-            pairs[two] = pairs.get(two, 0) + 1
+        count.update(own)
+        pairs.update(zip(own, own[1:]))
     # A word is repeated when the page uses it again and again; a pair, when it recurs.
     often = max(3, 0.015 * total)
     twice = max(3, 0.008 * total)
     symbols, lengths = [], []
-    for (piece, fenced), own, twos in zip(pieces, words, previous):
+    for (piece, fenced), own in zip(pieces, words):
         if fenced:
             symbol = "code"
         else:
             repeated = sum(count[w] >= often for w in own) / len(own) if own and total >= 20 else 0.0
-            recurring = sum(pairs[t] >= twice for t in twos) / len(twos) if twos else 0.0
+            recurring = sum(pairs[t] >= twice for t in zip(own, own[1:])) / (len(own) - 1) if len(own) > 1 else 0.0
             symbol = _symbol(piece, own, repeated, recurring)
         symbols.append(SYMBOLS.index(symbol))
         lengths.append(len(piece.strip()))
