@@ -20,6 +20,7 @@ from quernlab.functions.text import normalize_dataset
 from quernlab.operators import evaluate, findings, generate, selection
 from quernlab.session import materialise, spread
 
+
 def training_path(root: str, dataset: str, technique: str | None = None) -> str:
     """Where a dataset's training table lies, after a technique or as it was."""
     name = normalize_dataset(dataset)
