@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from quernlab.llm.encode import TOKENIZER, corpus_sizes
 from quernlab.session import materialise
 
-#: The seeded order is cut into so many parts per source; only the part where the share ends is sorted.
-PARTS = 4096
+#: The seeded order of a source is cut into 2**PART_BITS parts, and into more where these would have more than PART_TEXTS
+#: texts on average; only the part where the share ends is sorted.
+PART_BITS, PART_TEXTS = 12, 50_000
 #: Sources that the targets may name; their totals are handled on the driver.
 SOURCE_LIMIT = 100_000
 
@@ -63,7 +64,10 @@ class Mixture:
             sources.join(sized, "doc_id").join(F.broadcast(targets.select("source")), "source", "left_semi")
             .select("doc_id", "source", "n_tokens", F.xxhash64(F.lit(seed), "source", "doc_id").alias("at"))
         )
-        sums = {r["source"]: r["size"] or 0 for r in self.texts.groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
+        totals = self.texts.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n")).collect()
+        sums = {r["source"]: r["size"] or 0 for r in totals}
+        most = max((r["n"] for r in totals), default=0)
+        self.bits = max(PART_BITS, (most // PART_TEXTS).bit_length())
         weights = {r["source"]: r["weight"] for r in rows}
         caps = {r["source"]: r["max_repeats"] for r in rows}
         drawn = water_fill(sums, weights, caps, sum(sums.values()) if total is None else total)
@@ -79,7 +83,7 @@ class Mixture:
 
     def draw(self) -> DataFrame:
         """(doc_id, source, n_tokens, repeats) of the drawn texts."""
-        part = F.pmod(F.shiftrightunsigned("at", 52).cast("int"), F.lit(PARTS))
+        part = F.shiftrightunsigned("at", 64 - self.bits)
         texts = self.texts.withColumn("part", part)
         before = (
             texts.groupBy("source", "part").agg(F.sum("n_tokens").alias("size"))

@@ -512,3 +512,52 @@ def test_nothing_outside_imports_this_package():
         if root / "llm" not in path.parents:
             assert "quernlab.llm" not in path.read_text()
     assert "quernlab.llm" in sys.modules
+
+
+@pytest.mark.parametrize("blanks", [10, 380, 396, 5000])
+def test_blanks_before_a_placeholder_do_not_count(blanks):
+    assert defects.is_empty(" " * blanks + "TODO") and defects.is_empty("\n" * blanks + "```\n```") and not defects.is_empty(" " * blanks + "The sum is 3.")
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 5, 40])
+def test_copies_may_be_repeated(times):
+    asked = "Write a function that adds two numbers a and b."
+    assert defects.copies_instruction(asked, " ".join([asked] * times))
+    assert defects.copies_instruction("Say hello", "\n".join(["Say hello"] * times)) and not defects.copies_instruction("Say hello", "hello")
+    assert not defects.copies_instruction(asked, "def add(a, b):\n    return a + b\n" * times)
+
+
+@pytest.mark.parametrize("text", [
+    "Niestety nie mogę pomóc w tej sprawie.", "Üzgünüm, bu isteğe yardım edemem.", "죄송하지만 그 요청에는 도움을 드릴 수 없습니다.", "Het spijt me, maar ik kan je daar niet mee helpen.", "Tyvärr kan jag inte hjälpa till med det.", "Maaf, saya tidak bisa membantu.",
+    "Xin lỗi, tôi không thể trả lời câu này.", "На жаль, я не можу відповісти.", "عذرا، لا أستطيع المساعدة في ذلك.", "क्षमा करें, मैं इसमें मदद नहीं कर सकता।", "I won't discuss that.", "My guidelines do not let me write `f`.", "No puedo ayudar con eso.", "Ich muss das leider ablehnen.", "我不能提供这个答案。",
+])
+def test_refusals_in_many_languages(text):
+    assert defects.refuses(text)
+
+
+@pytest.mark.parametrize("text", ["The call prints 'Sorry, I cannot help' on failure. The rest works the same way.", "Sorry for the long detour: the loop has to mark the list first.", "You cannot do this in one pass, so build a set instead."])
+def test_answers_that_only_mention_a_refusal(text):
+    assert not defects.refuses(text)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from quernlab.llm.arrow import sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1_000_000] * 30 + ["y"] * 5000)], names=["text"])
+    parts = list(sliced([batch]))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist() and max(p.nbytes for p in parts) < 9_000_000 and max(p.num_rows for p in parts) <= 2000
+
+
+def test_the_least_rows_decide_no_class(spark):
+    """An idx read twice with the same stamp and other texts has one text in every step."""
+    schema = "idx long, split string, source string, question string, test_list array<string>, loaded_at timestamp"
+    data = [(1, "train", "a", "one two three four five", None, None), (1, "train", "a", "six seven eight nine ten", None, None), (2, "test", "a", "one two three four five", None, None), (3, "test", "a", "six seven eight nine ten", None, None)]
+    assert overlap.overlap_found(spark.createDataFrame(data, schema)).count() == 1
+
+
+def test_report_counts_the_pairs(spark, small):
+    samples = spark.read.parquet(f"{small}/../sf0.01/samples.parquet")
+    report = overlap.overlap_report(samples).agg(F.sum("n_pairs")).first()[0]
+    assert report == overlap.cross_split_pairs(samples).count()
