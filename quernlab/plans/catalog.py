@@ -156,6 +156,7 @@ def queries() -> dict:
         "near_dup_clusters": lambda s, d: _near(s, d).clusters().select(F.col("id").alias("idx"), "cluster_id", "n_links"),
         "near_dup_keep": _near_dup_keep,
         "minhash_pairs": _minhash_pairs,
+        "similarities": lambda s, d: dedup.similarities(_pair_texts(s, d), "idx", "text", F.col("idx") % 20 == 0, NEAR_N),
         "exact_dups": lambda s, d: dedup.exact_duplicates(t(s, d, "documents"), "doc_id", "text"),
         # findings
         "split_three_way": lambda s, d: findings.split_three_way(_files(s, d).select("path"), find(s, d), _unreadable(s, d)),

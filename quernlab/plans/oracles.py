@@ -84,6 +84,8 @@ SQL = {
     regexp_extract_all(lower(coalesce(question, '')), '(?:[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])+') AS asked FROM samples),
   scored AS (SELECT idx, CASE WHEN len(given) > 0 THEN len(list_intersect(given, asked))::DOUBLE / len(given) ELSE 0.0 END AS score FROM s)
   SELECT idx, score FROM scored QUALIFY row_number() OVER (ORDER BY score DESC, idx) <= floor((SELECT count(*) FROM scored) * 0.2::DOUBLE)""",
+    "similarities": f"""WITH {_GRAMS}, every AS (SELECT idx, len(g) AS n, unnest(g) AS gram FROM grams)
+  SELECT q.idx AS query_id, e.idx AS id, count(*)::DOUBLE / (any_value(q.n) + any_value(e.n) - count(*)) AS similarity FROM every q JOIN every e ON q.gram = e.gram AND q.idx <> e.idx WHERE q.idx % 20 = 0 GROUP BY q.idx, e.idx""",
     "exact_dups": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "split_three_way": f"WITH {_FILES} SELECT path, bucket FROM split",
     "split_counts": f"WITH {_FILES} SELECT bucket, count(*) AS n FROM split GROUP BY bucket",

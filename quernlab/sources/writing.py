@@ -50,8 +50,8 @@ def write_line_list(lines: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def summary_lines(summary: DataFrame) -> DataFrame:
-    """(value): the key=value lines of each summary row; the two pass@1 figures have four decimals."""
-    shown = [F.format_string("%.4f", c) if c.endswith("pass1") else F.col(c).cast("string") for c in SUMMARY_FIELDS]
+    """(value): the key=value lines of each summary row; the two pass@1 figures have four decimals, nulls are None."""
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if c.endswith("pass1") else F.col(c).cast("string") for c in SUMMARY_FIELDS]
     pairs = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(v, F.lit("None"))) for c, v in zip(SUMMARY_FIELDS, shown)])
     return summary.select(F.array_join(pairs, "\n").alias("value"))
 
