@@ -59,6 +59,7 @@ REFUSALS = (
     ("decline|refuse|pass on", r"\b(?:i|we) (?:must|have to|need to|am going to|'m going to|will|would|shall|am obliged to|am forced to|politely|respectfully) (?:politely |respectfully |have to )?(?:decline|refuse|pass on)\b"),
     ("rather not|prefer not", r"\b(?:i|we)(?:'d| would) (?:rather|prefer) not(?: to)?\b"),
     ("can't|cannot|can not|won't|will not|unable|not able|not allowed|not permitted|not wish|n't wish|not want|n't want|refuse|decline", r"\b(?:i|we) (?:can't|cannot|can not|won't|will not|am unable to|'m unable to|am not able to|'m not able to|am not allowed to|'m not allowed to|am not permitted to|do not wish to|don't wish to|do not want to|don't want to|refuse to|decline to) (?:\w+ ){0,2}?(?:help|assist|answer|discuss|share|write|provide|comply|fulfil|fulfill|complete|respond|do|give|support|engage|produce|generate|create|take|continue|talk|comment|reply|offer|solve|explain|disclose|reveal)\b"),
+    ("can't|cannot|can not|won't|will not|unable|not able|refuse|decline", r"\b(?:i|we) (?:can't|cannot|can not|won't|will not|shall not|(?:am|'m|are) (?:not able|unable) to|refuse to|decline to) (?:\w+ ){1,2}?(?:anything|something|nothing|any of|this|that|these|it|you|your)\b"),
     ("not have the|n't have the|not feel|n't feel", r"\b(?:i|we) (?:do not|don't) (?:have the (?:ability|permission|authori[sz]ation|means)|feel (?:comfortable|able|at ease))\b"),
     ("guideline|polic|rules|instructions|programming|developer|principles|safety", r"\b(?:my|our|the) (?:guidelines?|polic(?:y|ies)|rules|instructions|programming|developers?|principles|safety \w+) (?:do|does|will|would)?(?: not|n't)? ?(?:not )?(?:let|allow|permit|prevents?|prohibits?|forbids?|stops?)\b"),
     ("would not be |not appropriate|not possible", r"\bwould not be (?:appropriate|right|responsible|ethical|proper|safe) (?:for|of|to)\b|\bit(?:'s| is) not (?:appropriate|possible) for me\b"),
@@ -221,7 +222,7 @@ def is_empty(output: str | None) -> bool:
         if not line.strip() or _FENCE.match(line):
             continue
         line = _TAG.sub(" ", line)
-        called = called or bool(re.search(r"[`=(]\w", line))
+        called = called or bool(re.search(r"[`=]\w|\w\(", line))
         words += re.findall(r"\w+", line.lower().replace("_", " "))
         if len(words) > 8:
             return False

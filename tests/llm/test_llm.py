@@ -62,6 +62,8 @@ class Known(defects.Endings):
         ("Explain it to me please.", "```python\n```", "mixed", ["empty"]),
         ("Explain it to me please.", "<answer></answer>", "prose", ["empty"]),
         ("Explain it to me please.", "N/A", "prose", ["empty"]),
+        ("Explain it to me please.", "(empty)", "prose", ["empty"]),
+        ("Write it.", "print(answer)", "code", []),
         ("Explain it to me please.", "# Solution\n", "code", ["empty"]),
         ("Explain it to me please.", "&nbsp;", "prose", ["empty"]),
         ("Answer yes or no.", "No", "prose", []),
@@ -529,13 +531,13 @@ def test_copies_may_be_repeated(times):
 
 @pytest.mark.parametrize("text", [
     "Niestety nie mogę pomóc w tej sprawie.", "Üzgünüm, bu isteğe yardım edemem.", "죄송하지만 그 요청에는 도움을 드릴 수 없습니다.", "Het spijt me, maar ik kan je daar niet mee helpen.", "Tyvärr kan jag inte hjälpa till med det.", "Maaf, saya tidak bisa membantu.",
-    "Xin lỗi, tôi không thể trả lời câu này.", "На жаль, я не можу відповісти.", "عذرا، لا أستطيع المساعدة في ذلك.", "क्षमा करें, मैं इसमें मदद नहीं कर सकता।", "I won't discuss that.", "My guidelines do not let me write `f`.", "No puedo ayudar con eso.", "Ich muss das leider ablehnen.", "我不能提供这个答案。",
+    "Xin lỗi, tôi không thể trả lời câu này.", "На жаль, я не можу відповісти.", "عذرا، لا أستطيع المساعدة في ذلك.", "क्षमा करें, मैं इसमें मदद नहीं कर सकता।", "I won't discuss that.", "My guidelines do not let me write `f`.", "No puedo ayudar con eso.", "I won't sort anything for Ada or her graph.", "Ich muss das leider ablehnen.", "我不能提供这个答案。",
 ])
 def test_refusals_in_many_languages(text):
     assert defects.refuses(text)
 
 
-@pytest.mark.parametrize("text", ["The call prints 'Sorry, I cannot help' on failure. The rest works the same way.", "Sorry for the long detour: the loop has to mark the list first.", "You cannot do this in one pass, so build a set instead."])
+@pytest.mark.parametrize("text", ["The call prints 'Sorry, I cannot help' on failure. The rest works the same way.", "Sorry for the long detour: the loop has to mark the list first.", "You cannot do this in one pass, so build a set instead.", "I can't see a faster way than this one. Sort the list first."])
 def test_answers_that_only_mention_a_refusal(text):
     assert not defects.refuses(text)
 
