@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Whether an execution deletes its shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -104,11 +106,17 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     The result has no lineage, survives the loss of any executor, and is computed once however
-    often it is read. It is deleted by ``discard``, or when the Python process ends.
+    often it is read. It is deleted by ``discard``, or when the Python process ends. The shuffle files
+    of the write are of no more use then and are deleted with its end, not when the driver's garbage is.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._quernlab_path = path
     return back

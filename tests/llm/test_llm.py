@@ -4,9 +4,12 @@ import random
 import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quernlab.llm import broken, defects, encode, mixing, neardup, overlap, packing, queries, spam
 from quernlab.llm.syntax.check import defect
+from quernlab.session import materialise
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -377,6 +381,38 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.near_duplicates_found(df.limit(0)).count() == 0
 
 
+def test_shingles_of_one_set_end_before_the_joins():
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([rng.integers(0, 1 << 47, 2000), np.repeat([5, 6], [400, 2]), [7]])
+    reps = rng.integers(-(1 << 62), 1 << 62, len(tokens))
+    found = set()
+    for bucket in range(3):
+        parts = [b.filter(pa.compute.equal(b.column("bucket"), bucket)) for half in (slice(0, None, 2), slice(1, None, 2)) for b in neardup._blocks(tokens[half] << 16 >> 16, reps[half], 3)]
+        for batch in neardup._linking(parts):
+            found |= set(zip(batch.column("rep").to_pylist(), batch.column("token").to_pylist()))
+    assert found == {(int(r), int(t)) for r, t in zip(reps, tokens) if t in (5, 6)}
+
+
+def test_near_duplicates_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 40)
+    texts = edited(random.Random(8), ["a b c d"], 60)
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "idx long, instruction string, output string")
+    expected = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(grams(texts[a]), grams(texts[b]), 0.6)}
+    assert set(rows(neardup.near_duplicates_found(df))) == expected and expected
+
+
+def test_shuffle_files_end_with_the_write(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if f.endswith(".data")}
+    before = files()
+    df = spark.range(10_000).repartition(3, "id")
+    back = materialise(df)
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert back.count() == df.count() == 10_000
+
+
 # 6
 
 
