@@ -37,8 +37,8 @@ class Sandbox:
             self.server.kill()
             self.server.wait()
 
-    def results(self, mode: str, code: str, tests, timeout: float, deadline: float, imports: list[str] | None = None) -> list[int]:
-        request = {"mode": mode, "code": code, "tests": tests, "timeout": timeout, "deadline": deadline, "imports": imports}
+    def results(self, mode: str, code: str, tests, timeout: float, deadline: float, imports: list[str] | None = None, whole: bool = False) -> list[int]:
+        request = {"mode": mode, "code": code, "tests": tests, "timeout": timeout, "deadline": deadline, "imports": imports, "whole": whole}
         try:
             self.server.stdin.write(json.dumps(request) + "\n")
             self.server.stdin.flush()
@@ -52,11 +52,12 @@ class Sandbox:
             return []
         return json.loads(line)
 
-    def ratio(self, tests_json: str | None, code: str | None, isolation: str = "per_test", io_timeout: float = IO_TIMEOUT, io_deadline: float = IO_DEADLINE, assert_timeout: float = ASSERT_TIMEOUT) -> float:
+    def ratio(self, tests_json: str | None, code: str | None, isolation: str = "per_test", io_timeout: float = IO_TIMEOUT, io_deadline: float = IO_DEADLINE, assert_timeout: float = ASSERT_TIMEOUT, whole: bool = False) -> float:
         """The share of tests that a program passes.
 
         Tests are JSON: a list of asserts, or an object of inputs and outputs. Null or broken tests, no
-        tests, a null or blank program, and anything that goes wrong are 0.
+        tests, a null or blank program, and anything that goes wrong are 0. With ``whole`` the first
+        failure ends a program, for callers that ask for 1 only: other ratios are then too low.
         """
         if not tests_json or not code or not code.strip():
             return 0.0
@@ -66,22 +67,22 @@ class Sandbox:
                 if not tests or not all(isinstance(t, str) for t in tests):
                     return 0.0
                 deadline = assert_timeout * 2 * len(tests) + 1 if isolation == "per_test" else assert_timeout + 1
-                results, total = self.results(isolation, code, tests, assert_timeout, deadline), len(tests)
+                results, total = self.results(isolation, code, tests, assert_timeout, deadline, whole=whole), len(tests)
             else:
                 total = len(tests["inputs"])
                 if not total or not isinstance(tests["outputs"], list):
                     return 0.0
-                results = self.results("io", code, tests, io_timeout, io_deadline)
+                results = self.results("io", code, tests, io_timeout, io_deadline, whole=whole)
         except (ValueError, TypeError, KeyError):
             return 0.0
         return sum(r == 1 for r in results) / total
 
 
-def pass_ratios(df: DataFrame, keys: list[str], tests: str = "tests", code: str = "code", isolation: str = "per_test", **limits: float) -> DataFrame:
+def pass_ratios(df: DataFrame, keys: list[str], tests: str = "tests", code: str = "code", isolation: str = "per_test", whole: bool = False, **limits: float) -> DataFrame:
     """(keys, ratio) of every row, each program run once, in a process of its own.
 
     ``isolation`` is for asserts: ``per_test`` gives each its own globals and time, ``shared`` runs all
-    in one go. Filter before this: nothing is pushed through it.
+    in one go. ``whole`` is for callers that ask for a ratio of 1 only. Filter before this: nothing is pushed through it.
     """
     if isolation not in MODES[1:]:
         raise ValueError(f"isolation must be per_test or shared: {isolation!r}")
@@ -92,7 +93,7 @@ def pass_ratios(df: DataFrame, keys: list[str], tests: str = "tests", code: str
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
                     part = batch.slice(at, 200)
-                    ratios = [sandbox.ratio(t, c, isolation, **limits) for t, c in zip(part.column(tests).to_pylist(), part.column(code).to_pylist())]
+                    ratios = [sandbox.ratio(t, c, isolation, whole=whole, **limits) for t, c in zip(part.column(tests).to_pylist(), part.column(code).to_pylist())]
                     yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [pa.array(ratios, pa.float64())], names=[*keys, "ratio"])
 
     return df.select(*dict.fromkeys([*keys, tests, code])).mapInArrow(run, schema)

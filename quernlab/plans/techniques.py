@@ -37,7 +37,7 @@ def augmentation(samples: DataFrame, isolation: str = "per_test", seed: int = 42
     own = samples.withColumn("transform", F.lit(None).cast("string"))
     unique = samples.dropDuplicates(["idx"]).withColumn("tests", tests_of())
     tried = materialise(code_variants(spread(unique)).join(unique.select("idx", "tests"), "idx").where("tests is not null"))
-    ratios = pass_ratios(spread(tried), ["idx", "transform", "code"], isolation=isolation)
+    ratios = pass_ratios(spread(tried), ["idx", "transform", "code"], isolation=isolation, whole=True)
     kept = ratios.where("ratio = 1.0").select("idx", "transform", F.col("code").alias("_code"))
     new = unique.drop("tests").join(kept, "idx").withColumn("solutions", F.col("_code")).drop("_code")
     both = own.unionByName(new.select(own.columns))

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -47,6 +48,14 @@ def test_a_program_that_swallows_its_alarm_ends(box):
     assert box.ratio(IO, "print(7)") == 1.0
 
 
+@pytest.mark.parametrize("tests", [["assert f(1) == 2", "assert f(0)", "assert f(0)"], {"fn_name": "f", "inputs": [[1], [0], [0]], "outputs": [2, 1, 1]}])
+def test_whole_ends_at_the_first_failure(box, tests):
+    code = "import time\ndef f(x):\n    time.sleep(0 if x else 30)\n    return x"
+    began = time.monotonic()
+    assert box.ratio(json.dumps(tests), code, whole=True) == 0.0 and time.monotonic() - began < 2
+    assert box.ratio(json.dumps(tests).replace("2", "1"), code.replace("30", "0").replace("return x", "return 1"), whole=True) == 1.0
+
+
 def test_isolation(box):
     leaky = json.dumps(["assert bump() == 1", "assert bump() == 1"])
     code = "n = 0\ndef bump():\n    global n\n    n += 1\n    return n"
