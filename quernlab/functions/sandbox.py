@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import subprocess
@@ -16,13 +17,40 @@ from pyspark.sql import types as T
 #: Seconds: of each input and of a whole input-output program, of each step of an assert, and of all asserts together.
 IO_TIMEOUT, IO_DEADLINE, ASSERT_TIMEOUT = 4.0, 11.0, 2.0
 MODES = ("io", "per_test", "shared")
+#: Programs of one process, where they may share it.
+TOGETHER = 100
+
+
+def usable_tests(tests_json: str | None) -> list | dict | None:
+    """Tests given as JSON; None where any program's ratio is 0."""
+    if not tests_json:
+        return None
+    try:
+        tests = json.loads(tests_json)
+        if isinstance(tests, list):
+            return tests if tests and all(isinstance(t, str) for t in tests) else None
+        return tests if len(tests["inputs"]) and isinstance(tests["outputs"], list) else None
+    except (ValueError, TypeError, KeyError):
+        return None
+
+
+def _request(tests: list | dict, code: str, isolation: str, io_timeout: float, io_deadline: float, assert_timeout: float, whole: bool) -> tuple[dict, int]:
+    """What the server is asked for, and the number of tests."""
+    if isinstance(tests, list):
+        deadline = assert_timeout * 2 * len(tests) + 1 if isolation == "per_test" else assert_timeout + 1
+        return {"mode": isolation, "code": code, "tests": tests, "timeout": assert_timeout, "deadline": deadline, "whole": whole}, len(tests)
+    return {"mode": "io", "code": code, "tests": tests, "timeout": io_timeout, "deadline": io_deadline, "whole": whole}, len(tests["inputs"])
 
 
 class Sandbox:
-    """A running sandbox server; a context manager."""
+    """A running sandbox server; a context manager. A lazy one starts with the first question."""
+
+    def __init__(self, lazy: bool = False):
+        self.lazy, self.server = lazy, None
 
     def __enter__(self) -> Sandbox:
-        self.start()
+        if not self.lazy:
+            self.start()
         return self
 
     def start(self) -> None:
@@ -30,6 +58,8 @@ class Sandbox:
         self.server = subprocess.Popen([sys.executable, "-m", "quernlab.functions.sandbox_server"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, env=env)
 
     def __exit__(self, *_) -> None:
+        if self.server is None:
+            return
         self.server.stdin.close()
         try:
             self.server.wait(5)
@@ -37,21 +67,26 @@ class Sandbox:
             self.server.kill()
             self.server.wait()
 
-    def results(self, mode: str, code: str, tests, timeout: float, deadline: float, imports: list[str] | None = None, whole: bool = False) -> list[int]:
-        request = {"mode": mode, "code": code, "tests": tests, "timeout": timeout, "deadline": deadline, "imports": imports, "whole": whole}
+    def ask(self, request: dict | list[dict]) -> list | None:
+        """What the server answers; None if it died with its child: the next request gets a new one."""
+        if self.server is None:
+            self.start()
         try:
             self.server.stdin.write(json.dumps(request) + "\n")
             self.server.stdin.flush()
             line = self.server.stdout.readline()
         except (BrokenPipeError, OSError):
             line = ""
-        if not line:  # the server died with its child; the next request gets a new one
+        if not line:
             self.server.kill()
             self.server.wait()
             self.start()
-            return []
+            return None
         return json.loads(line)
 
+    def results(self, mode: str, code: str, tests, timeout: float, deadline: float, imports: list[str] | None = None, whole: bool = False) -> list[int]:
+        return self.ask({"mode": mode, "code": code, "tests": tests, "timeout": timeout, "deadline": deadline, "imports": imports, "whole": whole}) or []
+
     def ratio(self, tests_json: str | None, code: str | None, isolation: str = "per_test", io_timeout: float = IO_TIMEOUT, io_deadline: float = IO_DEADLINE, assert_timeout: float = ASSERT_TIMEOUT, whole: bool = False) -> float:
         """The share of tests that a program passes.
 
@@ -59,24 +94,38 @@ class Sandbox:
         tests, a null or blank program, and anything that goes wrong are 0. With ``whole`` the first
         failure ends a program, for callers that ask for 1 only: other ratios are then too low.
         """
-        if not tests_json or not code or not code.strip():
+        tests = usable_tests(tests_json)
+        if tests is None or not code or not code.strip():
             return 0.0
         try:
-            tests = json.loads(tests_json)
-            if isinstance(tests, list):
-                if not tests or not all(isinstance(t, str) for t in tests):
-                    return 0.0
-                deadline = assert_timeout * 2 * len(tests) + 1 if isolation == "per_test" else assert_timeout + 1
-                results, total = self.results(isolation, code, tests, assert_timeout, deadline, whole=whole), len(tests)
-            else:
-                total = len(tests["inputs"])
-                if not total or not isinstance(tests["outputs"], list):
-                    return 0.0
-                results = self.results("io", code, tests, io_timeout, io_deadline, whole=whole)
+            request, total = _request(tests, code, isolation, io_timeout, io_deadline, assert_timeout, whole)
+            results = self.ask(request) or []
         except (ValueError, TypeError, KeyError):
             return 0.0
         return sum(r == 1 for r in results) / total
 
+    def passing(self, programs: list[tuple[list | dict, str, bool]], isolation: str = "per_test") -> list[bool]:
+        """Whether each of (usable tests, code, whether it leaves no trace) passes all its tests.
+
+        Those that leave no trace run in processes of up to TOGETHER, and end where they enter an endless loop.
+        """
+        passed = [False] * len(programs)
+        asked = {}
+        for i, (tests, code, _) in enumerate(programs):
+            with contextlib.suppress(ValueError, TypeError, KeyError):
+                asked[i] = _request(tests, code, isolation, IO_TIMEOUT, IO_DEADLINE, ASSERT_TIMEOUT, True)
+        shared = [i for i in asked if programs[i][2]]
+        for i in shared:
+            asked[i][0]["cut"] = True
+        found = {}
+        for at in range(0, len(shared), TOGETHER):
+            some = shared[at : at + TOGETHER]
+            found |= zip(some, self.ask([asked[i][0] for i in some]) or [])
+        for i, (request, total) in asked.items():
+            results = found[i] if i in found else self.ask(request) or []
+            passed[i] = sum(r == 1 for r in results) / total == 1.0
+        return passed
+
 
 def pass_ratios(df: DataFrame, keys: list[str], tests: str = "tests", code: str = "code", isolation: str = "per_test", whole: bool = False, **limits: float) -> DataFrame:
     """(keys, ratio) of every row, each program run once, in a process of its own.

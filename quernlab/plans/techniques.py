@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernlab.functions.augment import passing_variants
 from quernlab.functions.cases import tests_of
 from quernlab.functions.formatters import refactor
 from quernlab.functions.quality import lint_rating, maintainability, score_column
-from quernlab.functions.rewrite import code_variants
 from quernlab.functions.sandbox import pass_ratios
 from quernlab.functions.scan import scan_code
 from quernlab.functions.text import normalize_dataset
@@ -32,13 +32,11 @@ def augmentation(samples: DataFrame, isolation: str = "per_test", seed: int = 42
 
     Original rows stay as they are, repeats included; a variant is its sample's row with other
     ``solutions``; ``transform`` says which rewrite, null for originals. Changed variants are told apart
-    before anything is run.
+    before anything is run, and what must fail by its source alone isn't.
     """
     own = samples.withColumn("transform", F.lit(None).cast("string"))
     unique = samples.dropDuplicates(["idx"]).withColumn("tests", tests_of())
-    tried = materialise(code_variants(spread(unique)).join(unique.select("idx", "tests"), "idx").where("tests is not null"))
-    ratios = pass_ratios(spread(tried), ["idx", "transform", "code"], isolation=isolation, whole=True)
-    kept = ratios.where("ratio = 1.0").select("idx", "transform", F.col("code").alias("_code"))
+    kept = materialise(passing_variants(spread(unique.select("idx", "solutions", "tests")), isolation=isolation)).withColumnRenamed("code", "_code")
     new = unique.drop("tests").join(kept, "idx").withColumn("solutions", F.col("_code")).drop("_code")
     both = own.unionByName(new.select(own.columns))
     key = F.xxhash64(F.lit(seed), "idx", F.coalesce("transform", F.lit("")))
